@@ -20,7 +20,7 @@ from callscape.functions.names import plain_module
 
 #: Kinds of records, parents first; `graph` and `struct` are only parents.
 KINDS = ("graph", "struct", "struct_field", "location", "spec", "clause", "input", "result", "type", "param")
-_ROW = "graph_id bigint, project string, received_at timestamp, root_hash string, occ_no bigint, parent_no bigint, record_kind string, module string, item string, item_no bigint, clause_no bigint, element_no bigint, node_hash string, parent_hash string, content string"
+_ROW = "graph_id bigint, project string, received_at timestamp_ntz, root_hash string, occ_no bigint, parent_no bigint, record_kind string, module string, item string, item_no bigint, clause_no bigint, element_no bigint, node_hash string, parent_hash string, content string"
 _NAMES = [x.split()[0] for x in _ROW.split(", ")]
 
 
@@ -138,13 +138,13 @@ def occurrences(graphs: DataFrame) -> DataFrame:
                     rows += [(no, project, at, flat[0][8], *r) for r in flat]
             yield pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object if n != "received_at" else "datetime64[ns]") for i, n in enumerate(_NAMES)})
 
-    raw = graphs.select(F.col("graph_id").cast("bigint").alias("graph_id"), "project", F.col("received_at").cast("timestamp").alias("received_at"), "body")
+    raw = graphs.select(F.col("graph_id").cast("bigint").alias("graph_id"), "project", F.col("received_at").cast("timestamp_ntz").alias("received_at"), "body")
     return raw.where("graph_id is not null").mapInPandas(scan, _ROW).withColumn("module", plain_module("module"))
 
 
 def latest(rows: DataFrame) -> DataFrame:
     """The rows of the delivery of each graph that was received last (of those whose JSON is complete), once."""
-    roots = rows.where("record_kind = 'graph'").groupBy("graph_id").agg(F.max_by("root_hash", F.struct(F.coalesce("received_at", F.lit("1900-01-01").cast("timestamp")), F.col("root_hash"))).alias("root_hash"))
+    roots = rows.where("record_kind = 'graph'").groupBy("graph_id").agg(F.max_by("root_hash", F.struct(F.coalesce("received_at", F.lit("1900-01-01").cast("timestamp_ntz")), F.col("root_hash"))).alias("root_hash"))
     return rows.join(roots, ["graph_id", "root_hash"], "left_semi").dropDuplicates(["graph_id", "occ_no"])
 
 

@@ -142,7 +142,7 @@ def _spec_rows(d: dict, sig: Mapping[str, tuple[str, str]]) -> Iterator[tuple[st
                 yield row.get("module"), row
 
 
-_SIG = "file_no bigint, project string, extracted_at timestamp, received_at timestamp, sig map<string, struct<key: string, kind: string>>"
+_SIG = "file_no bigint, project string, extracted_at timestamp_ntz, received_at timestamp_ntz, sig map<string, struct<key: string, kind: string>>"
 _LOCATION = "file_no bigint, project string, module string, location_key string, name string, arity bigint, kind string, line bigint, start_line bigint, end_line bigint, file string, complexity bigint, max_nesting_depth bigint"
 _SPEC = "file_no bigint, project string, module string, name string, arity bigint, kind string, line bigint, inputs string, returns string"
 
@@ -152,14 +152,17 @@ def _plain(df: DataFrame, *more: str) -> DataFrame:
 
 
 def file_fingerprints(files: DataFrame) -> DataFrame:
-    """(file_no, project, extracted_at, sig) per file; deliveries count once (the latest), broken bodies not at all."""
+    """(file_no, project, extracted_at, sig) per file; deliveries count once (the latest), broken bodies not at all.
+
+    A file without a number or a time of extraction has no place among the others and is left out.
+    """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sigs = [None if d is None else {f: {"key": k, "kind": t} for f, (k, t) in fingerprint(d).items()} for d in map(parse, pdf["body"])]
             yield pdf.drop(columns="body").assign(sig=sigs)
 
-    cols = [F.col(c).cast("timestamp").alias(c) for c in ("extracted_at", "received_at")]
+    cols = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("extracted_at", "received_at")]
     raw = files.select(F.col("file_no").cast("bigint").alias("file_no"), "project", *cols, "body").where("file_no is not null and extracted_at is not null")
     found = raw.mapInPandas(scan, _SIG).where("sig is not null")
     one = F.max_by(F.struct("project", "extracted_at", "sig"), F.struct(F.coalesce("received_at", "extracted_at"), F.to_json("sig")))

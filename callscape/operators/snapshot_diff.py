@@ -36,7 +36,7 @@ def normalized(snapshots: DataFrame) -> DataFrame:
     joined = F.concat_ws("|", *content)
     return snapshots.where(F.col("project").isNotNull() & F.col("snapshot_no").isNotNull() & F.col("loaded_at").isNotNull()).select(
         "project", plain_module("module").alias("module"), plain_function("name").alias("name"), *[F.coalesce(F.col(c).cast("bigint"), F.lit(_NULL)).alias(c) for c in ("arity", "clause_no")],
-        F.col("snapshot_no").cast("bigint"), F.unix_micros(F.col("loaded_at").cast("timestamp")).alias("loaded"),
+        F.col("snapshot_no").cast("bigint"), F.col("loaded_at").alias("loaded"),
         F.xxhash64(joined).alias("h1"), F.xxhash64(joined, F.lit(1)).alias("h2"),
     )
 

@@ -42,7 +42,8 @@ def tree_aggregate(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, tuple[
 def distinct_calls(calls: DataFrame, *more: Column) -> DataFrame:
     """One row (call_id, project, callee_module, callee_function, ...) per call with both names, in plain form.
 
-    Deliveries of a call are alike but for spelling, so any of them stands for all.
+    Deliveries of a call are alike but for spelling, so any of them stands for all. Rows without a call_id, a callee
+    module or a callee function are no such calls.
     """
     c = calls.where(F.col("callee_module").isNotNull() & F.col("callee_function").isNotNull() & F.col("call_id").isNotNull())
     c = c.select("call_id", "project", plain_module("callee_module").alias("callee_module"), plain_function("callee_function").alias("callee_function"), *more)
