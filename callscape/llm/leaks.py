@@ -59,14 +59,14 @@ def cells(text: str, x: Sequence[int], y: Sequence[int]) -> list[tuple[int, int]
 
     The k-th line has the k-th box. Lines that run across columns are parted at their gaps of three or more spaces
     and go to the column that begins there. Lines set in from their column's edge are adverts inside an article
-    and come after everything else. Without boxes, lines stay in their order.
+    and come after everything else. Without a box for each line, lines stay in their order.
     """
     lines, at = [], 0
     for line in text.split("\n"):
         lines.append((at, line))
         at += len(line) + 1
     n = len(lines)
-    if not n or len(x) < n or len(y) < n:
+    if not n or len(x) < n or len(y) < n or None in x or None in y:
         return [(a, a + len(s)) for a, s in lines]
     edges = []
     for v in sorted(set(x[:n])):
