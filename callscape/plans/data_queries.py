@@ -149,7 +149,56 @@ f AS (SELECT coalesce(cur.snapshot_no, old.snapshot_no) AS snapshot_no, coalesce
       FROM cur FULL JOIN old ON cur.project = old.project AND cur.snapshot_no = old.snapshot_no AND cur.module = old.module AND cur.name = old.name AND cur.arity = old.arity AND cur.clause_no = old.clause_no)
 """
 
+_DRIFT = """
+WITH f AS (SELECT DISTINCT ON (file_no) file_no, project, extracted_at, CAST(body AS JSON) AS b FROM extract_files WHERE json_valid(body) ORDER BY file_no, received_at DESC),
+raw AS (
+  SELECT file_no, r.key AS k, r.type AS t FROM f, json_each(b, '$.function_locations') m, json_each(m.value) l, json_each(l.value) r WHERE l.type = 'OBJECT'
+    AND r.key IN ('file', 'source_file', 'sourceFile', 'path', 'src', 'complexity', 'cyclomatic_complexity', 'cyclomatic', 'cc', 'max_nesting_depth', 'maxNestingDepth', 'nesting_depth', 'deepest_block')
+  UNION ALL SELECT file_no, r.key, r.type FROM f, json_each(b) r WHERE r.key IN ('specs', 'typespecs', 'type_specs', 'contracts')),
+sig AS (
+  SELECT file_no, CASE WHEN k IN ('file', 'source_file', 'sourceFile', 'path', 'src') THEN 'file' WHEN k IN ('complexity', 'cyclomatic_complexity', 'cyclomatic', 'cc') THEN 'complexity'
+      WHEN k IN ('specs', 'typespecs', 'type_specs', 'contracts') THEN 'specs' ELSE 'max_nesting_depth' END AS field,
+    min(k) AS k, min(CASE WHEN t IN ('UBIGINT', 'BIGINT') THEN 'whole' ELSE t END) AS t FROM raw WHERE t <> 'NULL' GROUP BY ALL),
+o AS (SELECT file_no, lag(file_no) OVER (PARTITION BY project ORDER BY extracted_at) AS prev FROM f),
+x AS (SELECT o.file_no, c.field, p.k AS pk, p.t AS pt, n.k, n.t FROM o CROSS JOIN (VALUES ('file'), ('complexity'), ('max_nesting_depth'), ('specs')) c(field)
+      LEFT JOIN sig p ON p.file_no = o.prev AND p.field = c.field LEFT JOIN sig n ON n.file_no = o.file_no AND n.field = c.field WHERE o.prev IS NOT NULL)
+SELECT file_no, field, 'added' AS change_kind FROM x WHERE pk IS NULL AND k IS NOT NULL
+UNION ALL SELECT file_no, field, 'removed' FROM x WHERE pk IS NOT NULL AND k IS NULL
+UNION ALL SELECT file_no, field, 'renamed' FROM x WHERE pk <> k
+UNION ALL SELECT file_no, field, 'retyped' FROM x WHERE pt <> t
+"""
+
+
+def _listed(value: str) -> str:
+    return f"CASE WHEN json_type({value}) = 'ARRAY' THEN {value} WHEN {value} IS NULL OR json_type({value}) = 'NULL' THEN CAST('[]' AS JSON) ELSE json_array({value}) END"
+
+
+_NESTED = f"""
+WITH w0 AS (SELECT graph_id, received_at, CAST(body AS JSON) AS d FROM call_graphs WHERE json_valid(body)),
+w1 AS (SELECT graph_id, received_at, CASE WHEN json_type(d) = 'VARCHAR' THEN TRY_CAST(d ->> '$' AS JSON) ELSE d END AS d FROM w0),
+w2 AS (SELECT graph_id, received_at, CASE WHEN json_type(d) = 'ARRAY' THEN d -> 0 ELSE d END AS d FROM w1 WHERE d IS NOT NULL),
+w3 AS (SELECT graph_id, received_at, CASE WHEN json_type(d -> 'graph') = 'OBJECT' THEN d -> 'graph' ELSE d END AS d FROM w2),
+g AS (SELECT DISTINCT ON (graph_id) graph_id, d FROM w3 ORDER BY graph_id, received_at DESC),
+fields AS (SELECT graph_id, m.key AS module, e.value ->> 'field' AS item, CAST(e.key AS BIGINT) AS item_no FROM g, json_each(d, '$.structs') m, json_each({_listed("(m.value -> 'fields')")}) e WHERE m.type = 'OBJECT' AND e.type <> 'NULL'),
+locations AS (SELECT graph_id, m.key AS module, e.key AS item FROM g, json_each(d, '$.function_locations') m, json_each(m.value) e WHERE m.type = 'OBJECT' AND e.type <> 'NULL'),
+spec AS (SELECT graph_id, m.key AS module, (e.value ->> 'name') || '/' || (e.value ->> 'arity') AS item, CAST(e.key AS BIGINT) AS item_no, e.value AS v FROM g, json_each(d, '$.specs') m, json_each({_listed("m.value")}) e WHERE e.type = 'OBJECT'),
+clause AS (SELECT s.* EXCLUDE (v), CAST(c.key AS BIGINT) AS clause_no, c.value AS v FROM spec s, json_each({_listed("(s.v -> 'clauses')")}) c WHERE c.type <> 'NULL'),
+typed AS (SELECT graph_id, m.key AS module, e.value ->> 'name' AS item, CAST(e.key AS BIGINT) AS item_no, e.value AS v FROM g, json_each(d, '$.types') m, json_each({_listed("m.value")}) e WHERE e.type = 'OBJECT'),
+r AS (
+  SELECT graph_id, 'struct_field' AS record_kind, module, item, item_no, -1 AS clause_no, -1 AS element_no FROM fields
+  UNION ALL SELECT graph_id, 'location', module, item, -1, -1, -1 FROM locations
+  UNION ALL SELECT graph_id, 'spec', module, item, item_no, -1, -1 FROM spec
+  UNION ALL SELECT graph_id, 'clause', module, item, item_no, clause_no, -1 FROM clause
+  UNION ALL SELECT graph_id, 'input', module, item, item_no, clause_no, CAST(e.key AS BIGINT) FROM clause c, json_each({_listed("(c.v -> 'input_strings')")}) e WHERE e.type <> 'NULL'
+  UNION ALL SELECT graph_id, 'result', module, item, item_no, clause_no, CAST(e.key AS BIGINT) FROM clause c, json_each({_listed("(c.v -> 'return_strings')")}) e WHERE e.type <> 'NULL'
+  UNION ALL SELECT graph_id, 'type', module, item, item_no, -1, -1 FROM typed
+  UNION ALL SELECT graph_id, 'param', module, item, item_no, -1, CAST(e.key AS BIGINT) FROM typed t, json_each({_listed("(t.v -> 'params')")}) e WHERE e.type <> 'NULL')
+SELECT graph_id, record_kind, {plain_sql("module")} AS module, item, CAST(item_no AS BIGINT) AS item_no, CAST(clause_no AS BIGINT) AS clause_no, CAST(element_no AS BIGINT) AS element_no FROM r
+"""
+
 SQL: dict[str, str] = {
+    "p2_found": _DRIFT,
+    "p3_found": _NESTED,
     "p1_found": f"WITH {_NODES} SELECT trace_id, node, root, depth FROM tree UNION ALL SELECT trace_id, node, '', CASE WHEN on_loop THEN -1 ELSE -2 END FROM looped",
     "p1_paths": f"WITH {_NODES} SELECT trace_id, node, root, depth, path FROM tree UNION ALL SELECT trace_id, node, '', CASE WHEN on_loop THEN -1 ELSE -2 END, NULL FROM looped",
     "p1_descendants": f"WITH {_NODES}, below AS (SELECT n.trace_id, n.up AS node, n.node AS descendant, 1::BIGINT AS distance FROM nodes n JOIN tree t ON t.trace_id = n.trace_id AND t.node = n.node WHERE n.up IS NOT NULL UNION ALL SELECT b.trace_id, n.up, b.descendant, b.distance + 1 FROM below b JOIN nodes n ON n.trace_id = b.trace_id AND n.node = b.node WHERE n.up IS NOT NULL) SELECT * FROM below",
