@@ -21,14 +21,14 @@ ON_LOOP, BELOW_LOOP = -1, -2
 
 
 def links(df: DataFrame, scope: Sequence[str], parent: Column, child: Column) -> DataFrame:
-    """One row (scope, node, up) per node; up is null for a root.
+    """One row (scope, node, up, inner) per node; up is null for a root, inner tells whether it has children.
 
     A link with a null end only makes its other end a node. Repeated links count once; of several parents the
     smallest is taken. The parent's own row and the child's come from one scan and one shuffle.
     """
-    both = df.select(*scope, F.explode(F.array(F.struct(child.alias("node"), parent.alias("up")), F.struct(parent.alias("node"), F.lit(None).cast("string").alias("up")))).alias("_e"))
-    both = both.select(*scope, "_e.node", "_e.up").where(F.col("node").isNotNull())
-    return both.groupBy(*scope, "node").agg(F.min("up").alias("up"))
+    both = df.select(*scope, F.explode(F.array(F.struct(child.alias("node"), parent.alias("up"), F.lit(False).alias("inner")), F.struct(parent.alias("node"), F.lit(None).cast("string").alias("up"), child.isNotNull().alias("inner")))).alias("_e"))
+    both = both.select(*scope, "_e.node", "_e.up", "_e.inner").where(F.col("node").isNotNull())
+    return both.groupBy(*scope, "node").agg(F.min("up").alias("up"), F.max("inner").alias("inner"))
 
 
 def _double(start: DataFrame, scope: Sequence[str], path: bool) -> tuple[DataFrame, DataFrame]:
@@ -59,6 +59,19 @@ def hierarchy(nodes: DataFrame, scope: Sequence[str], with_path: bool = False) -
     root '' and depth -2; their path is null. No rows give no rows. Path arrays are only built for nodes known to
     hang under a root, as on a loop they would grow without end.
     """
+    # nodes without children wait: they only take over what their parent has found in the end
+    known = _inner_hierarchy(nodes.where("inner"), scope, with_path)
+    alone = nodes.where("not inner and up is null").select(*scope, "node", F.col("node").alias("root"), F.lit(0).cast("bigint").alias("depth"), *([F.array("node").alias("path")] if with_path else []))
+    at = [F.col(f"n.{s}").eqNullSafe(F.col(f"k.{s}")) for s in scope]
+    leaves = nodes.where("not inner and up is not null").alias("n").join(known.alias("k"), [*at, F.col("n.up") == F.col("k.node")])
+    leaves = leaves.select(
+        *[F.col(f"n.{s}") for s in scope], "n.node", "k.root", F.when(F.col("k.depth") < 0, BELOW_LOOP).otherwise(F.col("k.depth") + 1).cast("bigint").alias("depth"),
+        *([F.concat("k.path", F.array("n.node")).alias("path")] if with_path else []),
+    )
+    return known.unionByName(alone).unionByName(leaves)
+
+
+def _inner_hierarchy(nodes: DataFrame, scope: Sequence[str], with_path: bool) -> DataFrame:
     start = nodes.select(*scope, "node", F.coalesce("up", "node").alias("anc"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("dist"), F.col("up").isNull().alias("done"))
     done, rest = _double(start, scope, False)
     on = rest.select(*scope, F.col("anc").alias("node"), F.lit(True).alias("on")).distinct()
