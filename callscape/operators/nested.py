@@ -54,20 +54,22 @@ def by_module(section: Any) -> Iterator[tuple[str, Any]]:
             yield module, v
 
 
+_canonical = json.JSONEncoder(sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode
+
+
 class _Node:
-    __slots__ = ("children", "digest", "kind", "place", "scalars")
+    __slots__ = ("children", "content", "digest", "kind", "place")
 
     def __init__(self, kind: str, place: tuple, scalars: Any) -> None:
-        self.kind, self.place, self.scalars, self.children, self.digest = kind, place, scalars, [], ""
+        self.kind, self.place, self.content, self.children, self.digest = kind, place, _canonical(scalars), [], ""
 
     def add(self, kind: str, place: tuple, scalars: Any) -> _Node:
         self.children.append(node := _Node(kind, place, scalars))
         return node
 
     def seal(self) -> str:
-        inner = [[c.place[1:], c.seal()] for c in self.children]
-        text = json.dumps([self.kind, self.scalars, inner], sort_keys=True, ensure_ascii=False, separators=(",", ":"))
-        self.digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+        inner = "".join([f"|{c.place[1:]}{c.seal()}" for c in self.children])
+        self.digest = hashlib.blake2b(f"{self.kind}|{self.content}{inner}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
         return self.digest
 
 
@@ -120,13 +122,16 @@ def tree(d: dict) -> _Node:
 def _flatten(node: _Node, out: list, parent: tuple[int, str] = (-1, "")) -> None:
     no = len(out)
     m, item, *numbers = node.place
-    out.append((no, parent[0], node.kind, m, item if isinstance(item, str) or item is None else json.dumps(item), *numbers, node.digest, parent[1], json.dumps(node.scalars, sort_keys=True, ensure_ascii=False)))
+    out.append((no, parent[0], node.kind, m, item if isinstance(item, str) or item is None else json.dumps(item), *numbers, node.digest, parent[1], node.content))
     for c in node.children:
         _flatten(c, out, (no, node.digest))
 
 
-def occurrences(graphs: DataFrame) -> DataFrame:
-    """One row per record of each complete delivery, with its content; see bridge() for one delivery per graph."""
+def occurrences(graphs: DataFrame, roots_only: bool = False) -> DataFrame:
+    """One row per record of each complete delivery, with its content; see bridge() for one delivery per graph.
+
+    roots_only gives the rows of kind `graph` alone. Graphs without a number are left out.
+    """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -134,7 +139,10 @@ def occurrences(graphs: DataFrame) -> DataFrame:
             for no, project, at, body in zip(pdf["graph_id"], pdf["project"], pdf["received_at"], pdf["body"], strict=True):
                 if (d := document(body)) is not None:
                     flat: list[tuple] = []
-                    _flatten(tree(d), flat)
+                    root = tree(d)
+                    if roots_only:
+                        root.children = []
+                    _flatten(root, flat)
                     rows += [(no, project, at, flat[0][8], *r) for r in flat]
             yield pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object if n != "received_at" else "datetime64[ns]") for i, n in enumerate(_NAMES)})
 
@@ -142,26 +150,27 @@ def occurrences(graphs: DataFrame) -> DataFrame:
     return raw.where("graph_id is not null").mapInPandas(scan, _ROW).withColumn("module", plain_module("module"))
 
 
-def latest(rows: DataFrame) -> DataFrame:
-    """The rows of the delivery of each graph that was received last (of those whose JSON is complete), once."""
-    roots = rows.where("record_kind = 'graph'").groupBy("graph_id").agg(F.max_by("root_hash", F.struct(F.coalesce("received_at", F.lit("1900-01-01").cast("timestamp_ntz")), F.col("root_hash"))).alias("root_hash"))
-    return rows.join(roots, ["graph_id", "root_hash"], "left_semi").dropDuplicates(["graph_id", "occ_no"])
+def latest(graphs: DataFrame) -> DataFrame:
+    """The records of the delivery of each graph that was received last (of those whose JSON is complete), once."""
+    newest = F.struct(F.coalesce("received_at", F.lit("1900-01-01").cast("timestamp_ntz")), F.col("root_hash"))
+    roots = occurrences(graphs, roots_only=True).groupBy("graph_id").agg(F.max_by("root_hash", newest).alias("root_hash"))
+    return occurrences(graphs).join(roots, ["graph_id", "root_hash"], "left_semi").dropDuplicates(["graph_id", "occ_no"])
 
 
 def bridge(graphs: DataFrame) -> DataFrame:
     """Every occurrence of every record: its number and its parent's in the graph, both hashes, ordinals and place."""
-    return latest(occurrences(graphs)).drop("content", "received_at", "root_hash")
+    return latest(graphs).drop("content", "received_at", "root_hash")
 
 
 def objects(graphs: DataFrame) -> DataFrame:
     """(node_hash, record_kind, content, n_occurrences): each distinct object once; content are its own scalar fields."""
-    rows = latest(occurrences(graphs))
+    rows = latest(graphs)
     return rows.groupBy("node_hash").agg(F.min("record_kind").alias("record_kind"), F.min("content").alias("content"), F.count(F.lit(1)).alias("n_occurrences"))
 
 
 def flat_table(graphs: DataFrame, kind: str) -> DataFrame:
     """All records of a kind, each with its parent's kind and place: the bridge joined to the objects it stores once."""
-    rows = latest(occurrences(graphs))
+    rows = latest(graphs)
     b = rows.where(F.col("record_kind") == kind).drop("content", "received_at", "root_hash", "project")
     o = rows.where(F.col("record_kind") == kind).groupBy("node_hash").agg(F.min("content").alias("content"))
     p = rows.select("graph_id", F.col("occ_no").alias("parent_no"), F.col("record_kind").alias("parent_kind"), F.col("item").alias("parent_item"))
