@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,16 +17,19 @@ from pyspark.sql.window import Window
 BROADCAST_ROWS = 100_000
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="callscape-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for data between stages: the one the session names in spark.checkpoint.dir.
 
-    Only a session that names none (as in tests on one machine) gets a temporary folder.
+    Only a session that names none (as in tests on one machine) gets a temporary folder of its own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = tempfile.mkdtemp(prefix="callscape-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_folder()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -120,20 +120,66 @@ def table(title: str, x: dict) -> str:
     for m in items:
         lines.append(f"{m['name']}" + (f" ({m['file'].rsplit('/', 1)[-1]})" if m.get("file") else "") + ":")
         for e in m.get("entries", []):
-            lines.append("  " + _entry(e).strip())
+            lines.append("  " + _entry({k: pretty_type(v) if k == "definition" else simplify_structs(v) if isinstance(v, str) else v for k, v in e.items()}).strip())
             for k, v in e.items():
                 if isinstance(v, list):
                     lines += [f"    {_entry(d) if isinstance(d, dict) else d}" for d in v]
     return "\n".join(lines)
 
 
-def simplify_structs(definition: str) -> str:
-    """`%{__struct__: M, ...}` as `%M{}`."""
-    return re.sub(r"%\{__struct__: ([^,}]+)[^}]*\}", r"%\1{}", definition)
+def function_name(f: dict, module: str | None = None) -> str:
+    """name/arity, with the module before it unless that is the one in whose context it stands."""
+    return f"{f['name']}/{f['arity']}" if f.get("module") == module else f"{f['module']}.{f['name']}/{f['arity']}"
+
+
+def function_place(f: dict, file: str | None = None) -> str:
+    """`L5:9`, with the file's last part before it unless that is the context's; nothing without lines or file."""
+    if f.get("start_line") is None or f.get("end_line") is None or not f.get("file"):
+        return ""
+    base = f["file"].rsplit("/", 1)[-1]
+    span = f"L{f['start_line']}:{f['end_line']}"
+    return span if file and base == file.rsplit("/", 1)[-1] else f"{base}:{span}"
+
+
+def call_line(other: dict, line: int, outgoing: bool, module: str | None = None, file: str | None = None) -> str:
+    """A call as seen from one side: arrow, line, the function on the other side, its kind and place."""
+    kind = f" [{other['kind']}]" if other.get("kind") else ""
+    place = function_place(other, file)
+    return f"{'→' if outgoing else '←'} @ L{line} {function_name(other, module)}{kind}" + (f" ({place})" if place else "")
+
+
+_STRUCT = re.compile(r"%\{\s*__struct__:\s*(?P<module>[A-Za-z][\w.]*)\s*(?:,(?P<fields>.*))?\}", re.S)
+_STRUCT_FLAT = re.compile(r"%\{__struct__:\s*([A-Za-z][\w.]*),[^}]+\}")
+
+
+def split_fields(text: str) -> list[tuple[str, str]]:
+    """(name, type) of each `name: type` between the commas that stand in no bracket."""
+    cuts, depth = [-1], 0
+    for i, c in enumerate(text):
+        depth += (c in "([{") - (c in ")]}")
+        if c == "," and not depth:
+            cuts.append(i)
+    parts = (text[a + 1 : b].partition(":") for a, b in zip(cuts, [*cuts[1:], len(text)]))
+    return [(n.strip(), t.strip()) for n, _, t in parts if n.strip() and t.strip()]
+
+
+def pretty_type(definition: str) -> str:
+    """A struct in a type definition as `%Module{...}`, one field a line; anything else as it is."""
+    m = _STRUCT.search(definition)
+    if not m:
+        return definition
+    inner = ",\n".join(f"  {n}: {t}" for n, t in split_fields(m["fields"] or ""))
+    return definition[: m.start()] + f"%{m['module']}{{" + (f"\n{inner}\n" if inner else "") + "}" + definition[m.end() :]
+
+
+def simplify_structs(text: str) -> str:
+    """Every struct with fields in a type as `%Module{}`."""
+    return _STRUCT_FLAT.sub(r"%\1{}", text)
 
 
 def shorten(text: str, most: int) -> str:
-    return text if len(text) <= most else text[: max(0, most - 3)] + "..."
+    """At most `most` characters, the last an ellipsis if something is cut."""
+    return text if len(text) <= most else text[: most - 1] + "…"
 
 
 def render(title: str, x: dict, form: str = "table") -> str:

@@ -206,5 +206,14 @@ def test_commands(spark, store):
 def test_toon():
     x = {"items": [{"name": "M.A", "entries": [{"name": "get_user", "arity": 1, "args": "integer()", "return_type": "U.t() | nil"}]}], "total_items": 1, "empty": "", "odd": "a,b", "none": None, "list": ["a", "b"]}
     assert render.toon(x).split("\n") == ['empty: ""', "items[1]:", "  - entries[1]{args,arity,name,return_type}:", "    integer(),1,get_user,U.t() | nil", "    name: M.A", "list[2]: a,b", "none: null", 'odd: "a,b"', "total_items: 1"]
-    assert render.simplify_structs("%{__struct__: A.B, id: integer()}") == "%A.B{}"
-    assert render.shorten("abcdef", 5) == "ab..."
+    assert render.simplify_structs("f(%{__struct__: A.B, id: integer()}) :: %{__struct__: C, x: t()}") == "f(%A.B{}) :: %C{}"
+    assert render.shorten("abcdef", 5) == "abcd…" and render.shorten("abc", 3) == "abc"
+
+
+def test_presentation():
+    f = {"module": "M.A", "name": "get", "arity": 2, "kind": "def", "file": "lib/a.ex", "start_line": 5, "end_line": 9}
+    assert render.call_line(f, 7, True, "M.A", "lib/a.ex") == "→ @ L7 get/2 [def] (L5:9)"
+    assert render.call_line(f, 7, False, "M.B", "lib/b.ex") == "← @ L7 M.A.get/2 [def] (a.ex:L5:9)"
+    assert render.call_line({"module": "M", "name": "x", "arity": 0}, 1, True, "M") == "→ @ L1 x/0"
+    assert render.pretty_type("@type t() :: %{__struct__: A.B, id: integer(), m: map(a(), b())}") == "@type t() :: %A.B{\n  id: integer(),\n  m: map(a(), b())\n}"
+    assert render.pretty_type("@type t() :: %{__struct__: A}") == "@type t() :: %A{}" and render.pretty_type("@type t() :: map()") == "@type t() :: map()"
