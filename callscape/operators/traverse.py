@@ -164,8 +164,10 @@ def reachable(g: Graph, project: str | None = None, module: str | None = None) -
     module keeps only edges of which either end contains it. Each round joins the pairs found last to the edges and
     keeps what is new; the pairs so far are only read for that.
     """
-    edges = _module_edges(g, project, module)
-    edges = cut_lineage(edges)
+    return _closure(cut_lineage(_module_edges(g, project, module)))
+
+
+def _closure(edges: DataFrame) -> DataFrame:
     known, fresh = edges, edges
     while not fresh.isEmpty():
         step = fresh.alias("f").join(edges.alias("e"), (F.col("f.project") == F.col("e.project")) & (F.col("f.b") == F.col("e.a"))).select("f.project", "f.a", "e.b").distinct()
@@ -181,8 +183,8 @@ def _module_edges(g: Graph, project: str | None, module: str | None) -> DataFram
 
 def cycle_edges(g: Graph, project: str | None = None, module: str | None = None) -> DataFrame:
     """(project, from_module, to_module): edges both of whose modules can reach themselves."""
-    looped = cut_lineage(reachable(g, project, module).where("a = b").select("project", "a"))
-    e = _module_edges(g, project, module)
+    e = cut_lineage(_module_edges(g, project, module))
+    looped = cut_lineage(_closure(e).where("a = b").select("project", "a"))
     return e.join(looped, ["project", "a"], "left_semi").join(looped.withColumnRenamed("a", "b"), ["project", "b"], "left_semi").select("project", F.col("a").alias("from_module"), F.col("b").alias("to_module"))
 
 

@@ -18,6 +18,15 @@ from callscape.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def latest_row(rows: DataFrame, key: list[str], order: list) -> DataFrame:
+    """The last row of each key by `order`, nulls first.
+
+    As an aggregate it combines before the shuffle, and where nothing but the key is asked for, nothing else is read.
+    """
+    values = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_v")).select(*key, "_v.*")
+
+
 def domain_graph(spark: SparkSession, folder: str) -> Graph:
     """The relations from the domain tables, as the latest row of each key (a location only while it is present).
 
@@ -25,8 +34,9 @@ def domain_graph(spark: SparkSession, folder: str) -> Graph:
     module, and a struct's fields from the arguments of its literals.
     """
     loc = table(spark, folder, "function_locations")
-    w = Window.partitionBy("project", "module", "name", "arity", "line").orderBy(F.desc("loaded_at"), F.desc_nulls_first("removed_at"), "clause_no", "end_line", F.asc_nulls_first("ast_sha"), F.asc_nulls_first("source_sha"))
-    loc = loc.withColumn("_r", F.row_number().over(w)).where("_r = 1 and removed_at is null").drop("_r")
+    key = ["project", "module", "name", "arity", "line"]
+    order = ["loaded_at", F.col("removed_at").isNull(), "removed_at", "clause_no", "end_line", "ast_sha", "source_sha"]
+    loc = latest_row(loc, key, order).where("removed_at is null")
     texts = {c: F.coalesce(c, F.lit("")) for c in ("file", "source_file_absolute", "pattern", "guard", "source_sha", "ast_sha", "generated_by", "macro_source")}
     fl = loc.withColumns({**texts, "complexity": F.coalesce("complexity", F.lit(1).cast("bigint")), "max_nesting_depth": F.coalesce("max_nesting_depth", F.lit(0).cast("bigint"))}).withColumnRenamed("column_no", "column")
     c = table(spark, folder, "calls").where("callee_module is not null and callee_function is not null")
@@ -36,8 +46,8 @@ def domain_graph(spark: SparkSession, folder: str) -> Graph:
         plain_function("callee_function").alias("callee_function"), F.coalesce(plain_arity("callee_arity", "callee_function"), zero).alias("callee_arity"), "file", F.coalesce("line", zero).alias("line"),
         F.coalesce("column_no", zero).alias("column"), "call_type", F.coalesce("caller_kind", F.lit("")).alias("caller_kind"), F.coalesce("callee_args", F.lit("")).alias("callee_args"), "received_at", "call_id",
     )
-    w = Window.partitionBy("project", "caller_module", "caller_function", "callee_module", "callee_function", "callee_arity", "file", "line", "column").orderBy(F.desc("received_at"), F.desc("call_id"))
-    c = c.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "received_at", "call_id")
+    key = ["project", "caller_module", "caller_function", "callee_module", "callee_function", "callee_arity", "file", "line", "column"]
+    c = latest_row(c, key, ["received_at", "call_id"])
     firsts = Window.partitionBy("project", "module", "name", "arity").orderBy("clause_no", "line")
     first = fl.withColumn("_r", F.row_number().over(firsts)).where("_r = 1")
     specs = first.select("project", "module", "name", "arity", F.when(F.col("kind").startswith("defmacro"), "callback").otherwise("spec").alias("kind"), "line", F.col("pattern").alias("inputs_string"), F.when(F.col("guard") == "", "any()").otherwise(F.col("guard")).alias("return_string"), F.concat(F.lit("@spec "), "name", F.lit("("), "pattern", F.lit(")")).alias("full"))
@@ -55,8 +65,8 @@ _BASE = rf"""
 fl AS (SELECT project, module, name, arity, line, clause_no, coalesce(file, '') AS file, kind, start_line, end_line, coalesce(pattern, '') AS pattern, coalesce(guard, '') AS guard,
    coalesce(source_sha, '') AS source_sha, coalesce(ast_sha, '') AS ast_sha, coalesce(complexity, 1) AS complexity, coalesce(max_nesting_depth, 0) AS max_nesting_depth, coalesce(generated_by, '') AS generated_by
  FROM (SELECT * FROM function_locations QUALIFY row_number() OVER (PARTITION BY project, module, name, arity, line
-         ORDER BY loaded_at DESC, removed_at DESC NULLS FIRST, clause_no, end_line, ast_sha NULLS FIRST, source_sha NULLS FIRST) = 1) WHERE removed_at IS NULL),
-cl AS (SELECT * EXCLUDE (received_at, call_id) FROM (
+         ORDER BY loaded_at DESC, removed_at DESC NULLS FIRST, clause_no DESC, end_line DESC, ast_sha DESC NULLS LAST, source_sha DESC NULLS LAST) = 1) WHERE removed_at IS NULL),
+cl AS (SELECT * FROM (
    SELECT project, {plain_sql("caller_module")} AS caller_module, coalesce(trim(caller_function), '<module>') AS caller_function, {plain_sql("callee_module")} AS callee_module, {name_sql("callee_function")} AS callee_function,
      coalesce(callee_arity, TRY_CAST(regexp_extract(callee_function, '/([0-9]+)\s*$', 1) AS BIGINT), 0) AS callee_arity, file, coalesce(line, 0) AS line, coalesce(column_no, 0) AS column_no,
      call_type, coalesce(caller_kind, '') AS caller_kind, coalesce(callee_args, '') AS callee_args, received_at, call_id
@@ -165,5 +175,5 @@ _CLOSURE = " reach AS (SELECT project, a, b FROM pairs UNION SELECT r.project, r
 _add("closure", lambda g: traverse.reachable(g), "SELECT * FROM reach", _CLOSURE)
 _add("cycle_edges", lambda g: traverse.cycle_edges(g), "SELECT project, a AS from_module, b AS to_module FROM pairs p WHERE EXISTS (SELECT 1 FROM reach r WHERE r.project = p.project AND r.a = p.a AND r.b = p.a) AND EXISTS (SELECT 1 FROM reach r WHERE r.project = p.project AND r.a = p.b AND r.b = p.b)", _CLOSURE)
 _add("cycles_len3", lambda g: traverse.simple_cycles(g, 3).select("project", "length", F.array_join("modules", ",").alias("modules")), "SELECT project, 2::BIGINT AS length, p.a || ',' || p.b AS modules FROM pairs p WHERE p.a < p.b AND EXISTS (SELECT 1 FROM pairs q WHERE q.project = p.project AND q.a = p.b AND q.b = p.a) UNION ALL SELECT project, 3, min(a || ',' || b || ',' || c) FROM (SELECT p.project, p.a, p.b, q.b AS c FROM pairs p JOIN pairs q ON q.project = p.project AND q.a = p.b JOIN pairs r ON r.project = p.project AND r.a = q.b AND r.b = p.a WHERE p.a < p.b AND p.a < q.b AND q.b <> p.b) GROUP BY project, a, least(b, c), greatest(b, c)")
-_add("upsert_latest", lambda g: g.calls.select("project", "caller_module", "caller_function", "callee_module", "callee_function", "callee_arity", "file", "line", F.col("column").alias("column_no"), "call_type", "caller_kind", "callee_args"), "SELECT * FROM cl")
+_add("upsert_latest", lambda g: g.calls.select("project", "caller_module", "caller_function", "callee_module", "callee_function", "callee_arity", "file", "line", F.col("column").alias("column_no"), "call_type", "caller_kind", "callee_args"), "SELECT * EXCLUDE (received_at, call_id) FROM cl")
 _add("modules", lambda g: g.modules, "SELECT DISTINCT project, module AS name, '' AS file, 'unknown' AS source FROM fl")
