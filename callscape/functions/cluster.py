@@ -39,6 +39,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over all cores, for what is costly in each row.
+
+    Only an input of fewer partitions than cores (one small file, say) is shuffled, by its key; a large one has more
+    partitions and stays as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def broadcast_if_bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows (counted, no more than one row beyond), else df as it is."""
     return F.broadcast(df) if df.select(F.lit(1)).limit(rows + 1).count() <= rows else df

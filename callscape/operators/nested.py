@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callscape.functions.cluster import spread
 from callscape.functions.names import plain_module
 
 #: Kinds of records, parents first; `graph` and `struct` are only parents.
@@ -147,7 +148,7 @@ def occurrences(graphs: DataFrame, roots_only: bool = False) -> DataFrame:
             yield pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object if n != "received_at" else "datetime64[ns]") for i, n in enumerate(_NAMES)})
 
     raw = graphs.select(F.col("graph_id").cast("bigint").alias("graph_id"), "project", F.col("received_at").cast("timestamp_ntz").alias("received_at"), "body")
-    return raw.where("graph_id is not null").mapInPandas(scan, _ROW).withColumn("module", plain_module("module"))
+    return spread(raw.where("graph_id is not null"), "graph_id").mapInPandas(scan, _ROW).withColumn("module", plain_module("module"))
 
 
 def latest(graphs: DataFrame) -> DataFrame:

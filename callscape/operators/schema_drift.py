@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscape.functions.cluster import lag_in_periods
+from callscape.functions.cluster import lag_in_periods, spread
 
 #: Keys under which a field was written by any version so far (fixed values); the first is today's.
 LOCATION_FIELDS = {
@@ -148,7 +148,7 @@ _SPEC = "file_no bigint, project string, module string, name string, arity bigin
 
 
 def _plain(df: DataFrame, *more: str) -> DataFrame:
-    return df.select(F.col("file_no").cast("bigint").alias("file_no"), "project", *more, "body").where("file_no is not null")
+    return spread(df.select(F.col("file_no").cast("bigint").alias("file_no"), "project", *more, "body").where("file_no is not null"), "file_no")
 
 
 def file_fingerprints(files: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def file_fingerprints(files: DataFrame) -> DataFrame:
 
     cols = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("extracted_at", "received_at")]
     raw = files.select(F.col("file_no").cast("bigint").alias("file_no"), "project", *cols, "body").where("file_no is not null and extracted_at is not null")
-    found = raw.mapInPandas(scan, _SIG).where("sig is not null")
+    found = spread(raw, "file_no").mapInPandas(scan, _SIG).where("sig is not null")
     one = F.max_by(F.struct("project", "extracted_at", "sig"), F.struct(F.coalesce("received_at", "extracted_at"), F.to_json("sig")))
     return found.groupBy("file_no").agg(one.alias("_f")).select("file_no", "_f.*")
 
