@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscape.functions.cluster import cut_lineage
+from callscape.functions.cluster import cut_lineage, spread
 
 #: Letters of other scripts that look like Latin ones, in natural order (fixed values).
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХаеѕіјорсухһԛԝԁѵӏ", "ABESIJKMHOPCTXaesijopcyxhqwdvl", strict=True))
@@ -141,7 +141,7 @@ def looks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "look": look, "own": own})
 
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    return rows.mapInPandas(scan, "doc_id bigint, look binary, own binary")
+    return spread(rows, "doc_id").mapInPandas(scan, "doc_id bigint, look binary, own binary")
 
 
 def look_alike_pairs(docs: DataFrame) -> DataFrame:

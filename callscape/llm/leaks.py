@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callscape.functions.cluster import spread
 from callscape.llm.canonical import CYRILLIC, GREEK, OTHER
 
 #: Letters in a pattern, of these at least so many on each side of the boundary; words hit that make a candidate.
@@ -249,7 +250,7 @@ def leaks(docs: DataFrame, items: DataFrame, words: int = WORDS, passages: int =
     total = rows.count()
     parts = max(1, -(-total // passages))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(F.col("page_lines.x0"), F.array().cast("array<int>")).alias("x"), F.coalesce(F.col("page_lines.y0"), F.array().cast("array<int>")).alias("y"))
-    docs = docs.where("doc_id is not null and length(text) > 0")
+    docs = spread(docs.where("doc_id is not null and length(text) > 0"), "doc_id")
     found = None
     for part in range(parts):
         mine = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
