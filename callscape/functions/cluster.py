@@ -42,11 +42,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """df over all cores, for what is costly in each row.
 
-    Only an input of fewer partitions than cores (one small file, say) is shuffled, by its key; a large one has more
-    partitions and stays as it is read.
+    Only an input that would leave half of the cores idle (one small file, say) is shuffled, by its key; a large one
+    has more partitions and stays as it is read.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if 2 * df.rdd.getNumPartitions() <= cores else df
 
 
 def broadcast_if_bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
