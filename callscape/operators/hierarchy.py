@@ -1,10 +1,9 @@
 """Parent-child links to full hierarchies, by pointer doubling.
 
 Every node starts with a pointer to its parent; each round replaces it by the pointer of the node it points to, so
-that the distance covered doubles and a tree of depth d is resolved in about log2(d) rounds. A pointer that is still
-unresolved when the distance covered exceeds the number of nodes with a parent in any scope can only lead into a loop.
-By then it points at a node *on* the loop, and every loop node is pointed at, so the set of targets tells the nodes on
-a loop from those below one.
+that the distance covered doubles and a tree of depth d is resolved in about log2(d) rounds. What is then unresolved
+leads into a loop. When the distance covered reaches the number of such nodes, every pointer is at a node *on* the
+loop, and every loop node is pointed at, so the set of targets tells the nodes on a loop from those below one.
 """
 
 from __future__ import annotations
@@ -32,24 +31,37 @@ def links(df: DataFrame, scope: Sequence[str], parent: Column, child: Column) ->
 
 
 def _double(start: DataFrame, scope: Sequence[str], path: bool) -> tuple[DataFrame, DataFrame]:
-    """The resolved and the unresolved rows of start after pointer doubling."""
-    cols = [*scope, "node", "anc", "dist", *(["path"] if path else [])]
-    state = cut_lineage(start)
-    open_ = state.where(~F.col("done"))
-    most = open_.groupBy(*scope).count().agg(F.max("count")).first()[0] or 0
+    """The resolved and the unresolved rows of start after pointer doubling.
+
+    As long as nodes under a root are open, each round resolves some (those less than twice as deep as what is
+    resolved). A round that resolves none leaves only nodes on and below loops, whose pointers never leave them:
+    from there on the rounds run over these alone, until they have gone as far as a scope has such nodes.
+    """
+    cols = [*scope, "node", "anc", "dist", *(["path"] if path else []), "done"]
+    state = cut_lineage(start.select(*cols, F.col("done").alias("fresh")))
     rounds = 0
     while True:
-        if most == 0 or 2**rounds > most or open_.isEmpty():
-            return state.where("done").select(*cols), open_.select(*cols)
-        at = [F.col(f"a.{s}").eqNullSafe(F.col(f"b.{s}")) for s in scope]
-        step = open_.alias("a").join(state.alias("b"), [*at, F.col("a.anc") == F.col("b.node")], "inner")
-        moved = step.select(
-            *[F.col(f"a.{s}") for s in scope], "a.node", F.col("b.anc").alias("anc"), (F.col("a.dist") + F.col("b.dist")).alias("dist"),
-            *([F.concat("b.path", "a.path").alias("path")] if path else []), "b.done",
-        )
-        state = cut_lineage(state.where("done").unionByName(moved))
-        open_ = state.where(~F.col("done"))
+        counts = state.agg(F.count_if(~F.col("done")).alias("open"), F.count_if("fresh").alias("fresh")).first()
+        if not counts["open"] or (rounds and not counts["fresh"]):
+            break
+        state = cut_lineage(state.where("done").withColumn("fresh", F.lit(False)).unionByName(_step(state, scope, path).withColumn("fresh", F.col("done"))))
+        rounds += 1
+    done, open_ = state.where("done").select(*cols[:-1]), state.where("not done").select(*cols)
+    most = (open_.groupBy(*scope).count().agg(F.max("count")).first()[0] or 0) if counts["open"] else 0
+    while most and 2**rounds < most:
+        open_ = cut_lineage(_step(open_, scope, path))
         rounds += 1
+    return done, open_.drop("done")
+
+
+def _step(state: DataFrame, scope: Sequence[str], path: bool) -> DataFrame:
+    """The open rows of state, each with the pointer of the node it pointed to."""
+    at = [F.col(f"a.{s}").eqNullSafe(F.col(f"b.{s}")) for s in scope]
+    step = state.where("not done").alias("a").join(state.alias("b"), [*at, F.col("a.anc") == F.col("b.node")], "inner")
+    return step.select(
+        *[F.col(f"a.{s}") for s in scope], "a.node", F.col("b.anc").alias("anc"), (F.col("a.dist") + F.col("b.dist")).alias("dist"),
+        *([F.concat("b.path", "a.path").alias("path")] if path else []), "b.done",
+    )
 
 
 def hierarchy(nodes: DataFrame, scope: Sequence[str], with_path: bool = False) -> DataFrame:
@@ -59,6 +71,7 @@ def hierarchy(nodes: DataFrame, scope: Sequence[str], with_path: bool = False) -
     root '' and depth -2; their path is null. No rows give no rows. Path arrays are only built for nodes known to
     hang under a root, as on a loop they would grow without end.
     """
+    nodes = cut_lineage(nodes)
     # nodes without children wait: they only take over what their parent has found in the end
     known = _inner_hierarchy(nodes.where("inner"), scope, with_path)
     alone = nodes.where("not inner and up is null").select(*scope, "node", F.col("node").alias("root"), F.lit(0).cast("bigint").alias("depth"), *([F.array("node").alias("path")] if with_path else []))
