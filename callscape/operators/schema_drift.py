@@ -144,7 +144,7 @@ def _spec_rows(d: dict, sig: Mapping[str, tuple[str, str]]) -> Iterator[tuple[st
 
 _SIG = "file_no bigint, project string, extracted_at timestamp_ntz, received_at timestamp_ntz, sig map<string, struct<key: string, kind: string>>"
 _LOCATION = "file_no bigint, project string, module string, location_key string, name string, arity bigint, kind string, line bigint, start_line bigint, end_line bigint, file string, complexity bigint, max_nesting_depth bigint"
-_SPEC = "file_no bigint, project string, module string, name string, arity bigint, kind string, line bigint, inputs string, returns string"
+_SPEC = "file_no bigint, project string, module string, name string, arity bigint, kind string, line bigint, clause_no bigint, inputs string, returns string, full string"
 
 
 def _plain(df: DataFrame, *more: str) -> DataFrame:
@@ -209,8 +209,17 @@ def consistent_locations(files: DataFrame) -> DataFrame:
     return _plain(files).mapInPandas(scan, _LOCATION).dropDuplicates(["file_no", "module", "location_key"])
 
 
+def _listed(v: Any) -> list:
+    """A list as it is, a single value in place of one as a list of one, none as an empty one."""
+    return v if isinstance(v, list) else [] if v is None else [v]
+
+
 def consistent_specs(files: DataFrame) -> DataFrame:
-    """All specs of all files, one row per file, module, name, arity, line and texts."""
+    """All clauses of all specs of all files, one row per file, module, name, arity, kind, line, clause and texts.
+
+    clause_no counts from 0 in the spec's list; a single clause in place of a list is a list of one, a null one keeps
+    its number but has no row. A spec without any clause has one row with clause_no -1, empty texts and a null full.
+    """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in _SPEC.split(", ")]
@@ -220,10 +229,10 @@ def consistent_specs(files: DataFrame) -> DataFrame:
                 if (d := parse(body)) is None:
                     continue
                 for module, row in _spec_rows(d, fingerprint(d)):
-                    clauses = [c for c in (row.get("clauses") or []) if isinstance(c, dict)]
-                    first = clauses[0] if clauses else {}
-                    texts = [x if isinstance(x, list) else [x] if x is not None else [] for x in (first.get("input_strings"), first.get("return_strings"))]
-                    rows.append((no, project, module, _str(row.get("name")), _whole(row.get("arity")), _str(row.get("kind")), _whole(row.get("line")), ", ".join(map(str, texts[0])), " | ".join(map(str, texts[1]))))
+                    clauses = [(i, c) for i, c in enumerate(_listed(row.get("clauses"))) if isinstance(c, dict)]
+                    for at, clause in clauses or [(-1, {})]:
+                        inputs, returns = (_listed(clause.get(x)) for x in ("input_strings", "return_strings"))
+                        rows.append((no, project, module, _str(row.get("name")), _whole(row.get("arity")), _str(row.get("kind")), _whole(row.get("line")), at, ", ".join(map(str, inputs)), " | ".join(map(str, returns)), _str(clause.get("full"))))
             yield _frame(rows, names)
 
     return _plain(files).mapInPandas(scan, _SPEC).dropDuplicates()

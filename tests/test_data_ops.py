@@ -135,6 +135,18 @@ def test_drift(spark):
     assert sum(r.n_files for r in versions) == 7 and any("rename file src" in r.steps for r in versions)
 
 
+def test_specs_of_several_clauses(spark):
+    clause = lambda a, r: {"full": f"f({a}) :: {r}", "input_strings": [a], "return_strings": [r]}
+    f = {"name": "f", "arity": 1, "line": 2, "clauses": [clause("a()", ":ok"), None, clause("b()", ":no"), clause("b()", ":no")]}
+    other = f | {"clauses": [clause("a()", ":ok"), None, clause("c()", ":no")]}
+    body = {"specs": {"M": [f, other], "N": {"name": "g", "clauses": clause("x", "y")}, "O": [{"name": "h", "clauses": []}]}}
+    got = schema_drift.consistent_specs(_files(spark, [_file(1, "p", 1, body), _file(1, "p", 1, body, 5)])).collect()
+    assert sorted((r.name, r.clause_no, r.inputs, r.returns, r.full) for r in got) == [
+        ("f", 0, "a()", ":ok", "f(a()) :: :ok"), ("f", 2, "b()", ":no", "f(b()) :: :no"), ("f", 2, "c()", ":no", "f(c()) :: :no"), ("f", 3, "b()", ":no", "f(b()) :: :no"),
+        ("g", 0, "x", "y", "f(x) :: y"), ("h", -1, "", "", None),
+    ]
+
+
 def test_drift_table_against_brute_force(spark):
     files = data_queries.table(spark, DATA, "extract_files")
     seen = {}
