@@ -103,9 +103,66 @@ def _inner_hierarchy(nodes: DataFrame, scope: Sequence[str], with_path: bool) ->
 
 
 def descendants(paths: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """(scope, node, descendant, distance): every pair of a node and one below it, from hierarchy(with_path=True)."""
-    up = paths.where(F.col("depth") > 0).select(*scope, F.col("node").alias("descendant"), "depth", F.posexplode(F.slice("path", 1, F.col("depth").cast("int"))).alias("_at", "node"))
-    return up.select(*scope, "node", "descendant", (F.col("depth") - F.col("_at")).cast("bigint").alias("distance"))
+    """(scope, node, descendant, distance): every pair of a node of a tree and one below it, from hierarchy(with_path=True).
+
+    Nodes on and below loops are left out here; all_descendants() has them as well.
+    """
+    return _pairs(paths, scope).drop("at")
+
+
+def _pairs(paths: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """descendants() with at, the depth of node."""
+    up = paths.where(F.col("depth") > 0).select(*scope, F.col("node").alias("descendant"), "depth", F.posexplode(F.slice("path", 1, F.col("depth").cast("int"))).alias("at", "node"))
+    return up.select(*scope, "node", "descendant", (F.col("depth") - F.col("at")).cast("bigint").alias("distance"), F.col("at").cast("bigint").alias("at"))
+
+
+def all_descendants(nodes: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """(scope, node, depth, descendant, distance): every pair of a node of links() and one below it, loops included.
+
+    depth is the node's in hierarchy(), so -1 and -2 tell nodes on and below loops apart. A node below a loop has the
+    tree under it. A node on a loop has all other nodes of the loop and the trees under all of them, each once, at the
+    fewest links that lead down to it; it is not its own descendant, so that a loop of one node without children has
+    none.
+    """
+    nodes = cut_lineage(nodes)
+    known = cut_lineage(hierarchy(nodes, scope, with_path=True))
+    of = lambda a, b, *k: [F.col(f"{a}.{x}").eqNullSafe(F.col(f"{b}.{x}")) for x in [*scope, *k]]
+    pairs = _pairs(known, scope).withColumnRenamed("at", "depth")
+    rest = cut_lineage(nodes.alias("n").join(known.where("depth < 0").alias("k"), of("n", "k", "node")).select("n.*", "k.depth"))
+    # every node of a loop is the root of what hangs under it alone
+    trees = rest.select(*scope, "node", F.when(F.col("depth") == BELOW_LOOP, F.col("up")).alias("up"), "inner")
+    trees = cut_lineage(hierarchy(trees, scope, with_path=True))
+    under = _pairs(trees, scope).withColumn("at", F.when(F.col("at") == 0, ON_LOOP).otherwise(BELOW_LOOP).cast("bigint")).withColumnRenamed("at", "depth")
+    # and what hangs under one is also below the loop's other nodes, farther by the way round to it
+    place = _loop_places(rest.where(F.col("depth") == ON_LOOP), scope)
+    below = trees.alias("t").join(place.alias("b"), [*of("t", "b"), F.col("t.root") == F.col("b.node")]).select(*[F.col(f"t.{x}") for x in scope], "b.loop", "b.place", F.col("t.node").alias("descendant"), F.col("t.depth").alias("under"))
+    round_ = place.alias("a").join(below.alias("d"), [*of("a", "d", "loop"), F.col("a.place") != F.col("d.place")])
+    round_ = round_.select(
+        *[F.col(f"a.{x}") for x in scope], "a.node", "d.descendant", (F.pmod(F.col("d.place") - F.col("a.place"), F.col("a.size")) + F.col("d.under")).alias("distance"), F.lit(ON_LOOP).cast("bigint").alias("depth")
+    )
+    return pairs.unionByName(under).unionByName(round_).select(*scope, "node", "depth", "descendant", "distance")
+
+
+def _loop_places(nodes: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """(scope, node, loop, place, size) of nodes (scope, node, up) that are all on loops.
+
+    A loop is named by its smallest node, found by pointer doubling; opened there it is a chain, and a node's place is
+    its depth in it.
+    """
+    state = cut_lineage(nodes.select(*scope, "node", F.col("up").alias("anc"), F.least("node", "up").alias("loop")))
+    most = state.groupBy(*scope).count().agg(F.max("count")).first()[0] or 0
+    seen = 1
+    while seen < most:
+        at = [F.col(f"a.{s}").eqNullSafe(F.col(f"b.{s}")) for s in scope]
+        step = state.alias("a").join(state.alias("b"), [*at, F.col("a.anc") == F.col("b.node")])
+        state = cut_lineage(step.select(*[F.col(f"a.{s}") for s in scope], "a.node", "b.anc", F.least("a.loop", "b.loop").alias("loop")))
+        seen *= 2
+    on = [F.col(f"n.{k}").eqNullSafe(F.col(f"l.{k}")) for k in [*scope, "node"]]
+    chain = nodes.alias("n").join(state.alias("l"), on).select("n.*", "l.loop").select(*scope, "node", F.when(F.col("node") != F.col("loop"), F.col("up")).alias("up"), F.lit(True).alias("inner"))
+    placed = cut_lineage(hierarchy(chain, scope)).select(*scope, "node", F.col("root").alias("loop"), F.col("depth").alias("place"))
+    size = placed.groupBy(*scope, "loop").agg(F.count(F.lit(1)).alias("size"))
+    on = [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*scope, "loop"]]
+    return placed.alias("p").join(size.alias("s"), on).select("p.*", "s.size")
 
 
 def path_step_links(steps: DataFrame) -> DataFrame:

@@ -27,6 +27,10 @@ def p1_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.descendants(h, ["trace_id"])
 
 
+def p1_all_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    return hierarchy.all_descendants(hierarchy.path_step_links(table(spark, folder, "path_steps")), ["trace_id"])
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return schema_drift.schema_changes(table(spark, folder, "extract_files"))
 
@@ -88,7 +92,7 @@ def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
     return c.groupBy("snapshot_no", "change_kind").agg(F.count(F.lit(1)).alias("n_clauses"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_locations, p2_specs, p2_versions, p3_found, p3_bridge, p3_objects, p3_clauses, p4_found, p4_pairs, p5_found, p5_counts, p6_found, p6_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_all_descendants, p2_found, p2_locations, p2_specs, p2_versions, p3_found, p3_bridge, p3_objects, p3_clauses, p4_found, p4_pairs, p5_found, p5_counts, p6_found, p6_counts)}
 
 
 def plain_sql(module: str) -> str:

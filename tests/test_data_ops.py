@@ -87,6 +87,28 @@ def test_hierarchy_random(spark, seed):
     assert len(below) == sum(d for _, d in want.values() if d > 0)
 
 
+def test_descendants_on_and_below_loops(spark):
+    edges = [(s, p, c) for s in (1, None) for p, c in (
+        ("top", "mid"), ("mid", "low"), ("z", "x"), ("x", "y"), ("y", "z"), ("x", "t1"), ("t1", "t2"), ("t1", "t3"), ("t3", "t4"), ("z", "u1"), ("a", "b"), ("b", "a"), ("self", "self"), ("self", "under"), ("under", "deep"), ("lone", "lone"))]
+    edges += [(2, "n4", "n0"), *((2, f"n{i}", f"n{i + 1}") for i in range(4)), (2, "n2", "leaf")]
+    want = set()
+    for s, node in _brute_tree(edges):
+        depth, level, seen, n = _brute_tree(edges)[s, node][1], {node}, {node}, 0
+        while level := {c for e, p, c in edges if e == s and p in level} - seen:
+            n += 1
+            seen |= level
+            want |= {(s, node, depth, c, n) for c in level}
+    df = spark.createDataFrame(edges + edges[:5], "s long, p string, c string")
+    links = hierarchy.links(df, ["s"], F.col("p"), F.col("c"))
+    got = rows(hierarchy.all_descendants(links, ["s"]))
+    assert got == sorted(want, key=repr)
+    assert {("t1", -2, "t4", 2), ("y", -1, "t4", 5), ("self", -1, "deep", 2), ("a", -1, "b", 1)} <= {g[1:] for g in got} and "lone" not in {g[1] for g in got}
+    # the trees' pairs are those of descendants(), and no rows give no rows
+    trees = rows(hierarchy.descendants(hierarchy.hierarchy(links, ["s"], with_path=True), ["s"]))
+    assert trees == sorted(((s, n, d, k) for s, n, at, d, k in got if at >= 0), key=repr)
+    assert hierarchy.all_descendants(links.limit(0), ["s"]).count() == 0
+
+
 def test_hierarchy_deep_chain_and_empty(spark):
     chain = spark.range(300).select(F.lit(1).alias("s"), F.col("id").cast("string").alias("p"), (F.col("id") + 1).cast("string").alias("c"))
     got = hierarchy.hierarchy(hierarchy.links(chain, ["s"], F.col("p"), F.col("c")), ["s"], with_path=True)
