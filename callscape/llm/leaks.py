@@ -122,10 +122,27 @@ class _Passages:
         self.any = bool(seeds)
 
 
+def _close_misreads(p_text: str, d_text: str, p: int, d: int) -> list[int]:
+    """The places, from p on, of single misread letters that stand too close for three equal letters between them.
+
+    They end before three equal letters, or the rest of the passage; none if two adjacent letters differ first.
+    """
+    bad = [0]
+    for i in range(1, min(len(p_text) - p, len(d_text) - d)):
+        if p_text[p + i] != d_text[d + i]:
+            if bad[-1] == i - 1:
+                return []
+            bad.append(i)
+        elif i - bad[-1] == min(3, len(p_text) - p - 1 - bad[-1]):
+            return [p + b for b in bad]
+    return [p + b for b in bad] if bad[-1] == len(p_text) - p - 1 else []
+
+
 def _walk(p_text: str, d_text: str, p: int, d: int, limits: list[int]) -> tuple[int, list[int]]:
     """How far the passage goes on from (p, d), and where it is misread.
 
-    A misread place has up to two letters on either side and three equal letters after it. At the end of a line, the
+    A misread place has up to two letters on either side and three equal letters after it; single misread letters may
+    follow each other more closely. At the end of a line, the
     lines of an advert may be left out; limits are the starts of lines in d_text.
     """
     bad: list[int] = []
@@ -158,6 +175,10 @@ def _walk(p_text: str, d_text: str, p: int, d: int, limits: list[int]) -> tuple[
                         step = (0, 0)
                     break
         if step is None:
+            if close := _close_misreads(p_text, d_text, p, d):
+                bad += close
+                p, d = close[-1] + 1, d + close[-1] + 1 - p
+                continue
             break
         if step != (0, 0):
             bad.append(min(p, n - 1))
@@ -171,14 +192,16 @@ def longest_run(passages: _Passages, k: int, stream: str, hits: list[tuple[int,
     back_text, back_stream = text[::-1], stream[::-1]
     back_limits = sorted(len(stream) - s for s in limits)
     best, where = 0, -1
-    done: set[int] = set()
+    # the stretches of the passage that walks along a diagonal covered; beyond them a hit begins a walk of its own
+    done: dict[int, list[tuple[int, int]]] = {}
     for p, d in hits:
-        if (p - d) in done:
+        if any(a <= p < b for a, b in done.get(p - d, ())):
             continue
-        done.update(range(p - d - 1, p - d + 2))
         end, bad = _walk(text, stream, p, d, limits)
         begin, bad_back = _walk(back_text, back_stream, len(text) - p, len(stream) - d, back_limits)
         begin = len(text) - begin
+        for near in range(p - d - 1, p - d + 2):
+            done.setdefault(near, []).append((begin, end))
         wrong = [bisect_right(starts, b) - 1 for b in bad] + [bisect_right(starts, len(text) - 1 - b) - 1 for b in bad_back]
         first, last = bisect_left(starts, begin), bisect_right(starts, end) - 1
         run = 0

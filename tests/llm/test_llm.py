@@ -139,6 +139,27 @@ def test_leaks(spark):
     assert leaks.leaks(_docs(spark, texts).limit(0), items).count() == 0
 
 
+def test_leaks_after_a_break_and_over_close_misreadings():
+    """Plain words after an unreadable place of equal length count; single letters misread two or three apart do not matter."""
+    word = lambda i: "".join("kmptvw"[(i * 7 + 5 * j + i * i * j) % 6] + "ae"[(i >> j) & 1] for j in range(5))
+    w = [word(i) for i in range(43)]
+    p = leaks._Passages([(1, " ".join(w))])
+    run = lambda words: [r[1] for r in leaks.scan_text(p, " ".join(words), [], [])]
+    assert run([*w[:12], "zzzzzzzzzz", *w[13:]]) == [30]
+    for gap in (2, 3):
+        text = "".join(w[:20])
+        # the last letters of one word and the first of the next, so that each has one misread letter
+        at = 10 * 10 - 1
+        letters = list(text)
+        letters[at] = letters[at + gap] = "z"
+        broken = "".join(letters)
+        assert run([broken[i : i + 10] for i in range(0, 200, 10)]) == [20]
+    letters = list("".join(w[:20]))
+    for at in (95, 97, 99, 102, 104):
+        letters[at] = "z"
+    assert run(["".join(letters)[i : i + 10] for i in range(0, 200, 10)]) == []
+
+
 def test_leaks_against_brute_force(spark):
     """Every undamaged run of passage words in a document's columns is found."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "page_lines.x0", "page_lines.y0").collect()
