@@ -14,6 +14,7 @@ import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ from callscape.llm.canonical import CYRILLIC, GREEK, OTHER
 SEED, SIDE, LEAST_BOUNDARIES = 12, 2, 3
 #: Consecutive words that make a leak.
 WORDS = 16
-#: Cells (lines of a column) that an advert inside an article may have.
+#: Cells (lines of a column) of an advert inside an article that a walk looks beyond by itself; longer ones need a hit on either side.
 ADVERT_CELLS = 14
 #: Passages whose automaton a worker may hold; more are scanned in further passes.
 PASSAGES = 20_000
@@ -122,6 +123,17 @@ class _Passages:
         self.any = bool(seeds)
 
 
+class _Run(NamedTuple):
+    """A stretch [begin, end) of a passage, where in the stream it stands and is anchored, and its misread places."""
+
+    begin: int
+    end: int
+    d_begin: int
+    d_end: int
+    anchor: int
+    bad: list[int]
+
+
 def _close_misreads(p_text: str, d_text: str, p: int, d: int) -> list[int]:
     """The places, from p on, of single misread letters that stand too close for three equal letters between them.
 
@@ -138,8 +150,8 @@ def _close_misreads(p_text: str, d_text: str, p: int, d: int) -> list[int]:
     return [p + b for b in bad] if bad[-1] == len(p_text) - p - 1 else []
 
 
-def _walk(p_text: str, d_text: str, p: int, d: int, limits: list[int]) -> tuple[int, list[int]]:
-    """How far the passage goes on from (p, d), and where it is misread.
+def _walk(p_text: str, d_text: str, p: int, d: int, limits: list[int]) -> tuple[int, int, list[int]]:
+    """How far passage and stream go on together from (p, d), and where the passage is misread.
 
     A misread place has up to two letters on either side and three equal letters after it; single misread letters may
     follow each other more closely. At the end of a line, the
@@ -183,7 +195,7 @@ def _walk(p_text: str, d_text: str, p: int, d: int, limits: list[int]) -> tuple[
         if step != (0, 0):
             bad.append(min(p, n - 1))
             p, d = p + step[0], d + step[1]
-    return p, bad
+    return p, d, bad
 
 
 def longest_run(passages: _Passages, k: int, stream: str, hits: list[tuple[int, int]], limits: list[int]) -> tuple[int, int]:
@@ -191,28 +203,62 @@ def longest_run(passages: _Passages, k: int, stream: str, hits: list[tuple[int,
     text, starts = passages.texts[k], passages.starts[k]
     back_text, back_stream = text[::-1], stream[::-1]
     back_limits = sorted(len(stream) - s for s in limits)
-    best, where = 0, -1
     # the stretches of the passage that walks along a diagonal covered; beyond them a hit begins a walk of its own
     done: dict[int, list[tuple[int, int]]] = {}
+    runs: list[_Run] = []
     for p, d in hits:
         if any(a <= p < b for a, b in done.get(p - d, ())):
             continue
-        end, bad = _walk(text, stream, p, d, limits)
-        begin, bad_back = _walk(back_text, back_stream, len(text) - p, len(stream) - d, back_limits)
-        begin = len(text) - begin
+        end, d_end, bad = _walk(text, stream, p, d, limits)
+        begin, d_begin, bad_back = _walk(back_text, back_stream, len(text) - p, len(stream) - d, back_limits)
+        begin, d_begin = len(text) - begin, len(stream) - d_begin
         for near in range(p - d - 1, p - d + 2):
             done.setdefault(near, []).append((begin, end))
-        wrong = [bisect_right(starts, b) - 1 for b in bad] + [bisect_right(starts, len(text) - 1 - b) - 1 for b in bad_back]
-        first, last = bisect_left(starts, begin), bisect_right(starts, end) - 1
+        runs.append(_Run(begin, end, d_begin, d_end, d, [*bad, *(len(text) - 1 - b for b in bad_back)]))
+    best, where = 0, -1
+    for r in [*runs, *_joined(runs, limits)]:
+        wrong = [bisect_right(starts, b) - 1 for b in r.bad]
+        first, last = bisect_left(starts, r.begin), bisect_right(starts, r.end) - 1
         run = 0
         for w in range(first, last):
             size = starts[w + 1] - starts[w]
             run = run + 1 if wrong.count(w) <= max(1, size // 5) else 0
             if run > best:
-                best, where = run, d
+                best, where = run, r.anchor
     return best, where
 
 
+def _joined(runs: list[_Run], limits: list[int]) -> list[_Run]:
+    """The runs that go on where another one ends, after a gap of whole lines of any number, joined with it.
+
+    The one ends at a line's end and the other begins at a later line's start, give or take three letters that are misread
+    or agree by chance; there the passage goes on, up to two letters apart. Each part has a hit of its own.
+    """
+
+    def edge(d: int) -> int | None:
+        at = bisect_left(limits, d)
+        return min((s for s in limits[max(0, at - 1) : at + 1] if abs(s - d) <= 3), key=lambda s: abs(s - d), default=None)
+
+    chains: list[_Run] = []
+    out = []
+    for b in sorted(runs, key=lambda r: (r.d_begin, r.begin)):
+        found = b
+        if (start := edge(b.d_begin)) is not None:
+            goes_on = b.begin + start - b.d_begin
+            for a in chains:
+                stop = edge(a.d_end)
+                if stop is None or stop >= start or a.begin >= found.begin:
+                    continue
+                ended = a.end + stop - a.d_end
+                if abs(ended - goes_on) <= 2 and a.end < b.end:
+                    bad = [*(x for x in a.bad if x < ended), *range(ended, goes_on), *(x for x in b.bad if x >= goes_on)]
+                    found = _Run(a.begin, b.end, a.d_begin, b.d_end, a.anchor, bad)
+        chains.append(found)
+        if found is not b:
+            out.append(found)
+    return out
+
+
 def _rows(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

@@ -160,6 +160,18 @@ def test_leaks_after_a_break_and_over_close_misreadings():
     assert run(["".join(letters)[i : i + 10] for i in range(0, 200, 10)]) == []
 
 
+def test_leaks_over_long_adverts():
+    """A passage goes on after any number of whole lines, but only where it stopped."""
+    w = _PASSAGE.split()
+    p = leaks._Passages([(1, _PASSAGE)])
+    run = lambda *lines: [r[1] for r in leaks.scan_text(p, "\n".join(lines), [], [])]
+    advert = [f"cheap boots {chr(97 + i)}{chr(100 + i)} quay" for i in range(20)]
+    one, two, three = " ".join(w[:10]), " ".join(w[10:20]), " ".join(w[20:30])
+    assert run(one, *advert, two) == [20] and run("Lines before", one, *advert, two, *advert, *advert, three, "and after") == [30]
+    assert run(one, *advert, "z" + two[1:]) == [20]
+    assert run(two, *advert, one) == [] and run(one, *advert, three) == [] and run(one + " zzzz yyyy xxxx", *advert, two) == []
+
+
 def test_leaks_against_brute_force(spark):
     """Every undamaged run of passage words in a document's columns is found."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "page_lines.x0", "page_lines.y0").collect()
