@@ -22,9 +22,9 @@ def references(calls: DataFrame) -> DataFrame:
 def orphan_calls(calls: DataFrame, locations: DataFrame, library: DataFrame) -> DataFrame:
     """(call_id, reason, at) of the calls whose callee is neither in library nor present in locations at that time.
 
-    Distinct references are held against the parent keys first; only references without a parent key in the library
-    go back to their calls, and only calls of functions that are known at all are held against the periods in which
-    these were present. reason: `deleted` if the function was there before, `late` if it came only later, else
+    The rows of calls are anti-joined with the library, and what is left, once per call, with the periods in which its
+    function was present. Distinct keys are only used in between, to look up when a function was first loaded, which
+    tells the reasons apart and drops nothing. reason: `deleted` if the function was there before, `late` if it came only later, else
     `missing`. A call whose arity cannot be had from its row matches nothing and is `missing`; a null time
     of the call lies in no period and before all. Repeated deliveries count once.
 
