@@ -1,8 +1,9 @@
-"""Helpers that keep plans safe on a cluster: shared checkpoints, checked broadcasts, salted lookups, split lags."""
+"""Helpers that keep plans safe on a cluster: tables in the shared folder, lookups that split hot keys, split lags."""
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows up to which a table may be broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 100_000
+#: A key is hot if it holds at least 1/HOT_SHARE of all rows; so there are never more than HOT_SHARE hot keys.
+HOT_SHARE = 1000
 
 
 @lru_cache(maxsize=1)
@@ -27,40 +28,80 @@ def _own_folder() -> str:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for data between stages: the one the session names in spark.checkpoint.dir.
 
-    Only a session that names none (as in tests on one machine) gets a temporary folder of its own.
+    Only a session on one machine (master local) may name none, and then gets a temporary folder of its own; on a
+    cluster that is an error, as executors would write where no other reads.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_folder()
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or _own_folder()
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the shared folder and read from there, so that no executor is needed for them any more."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/callscape-{uuid.uuid4().hex}.parquet"
+    """The rows of df, written once to the shared folder and read from there, so that no executor is needed for them any more.
+
+    The table is deleted by let_go(), or else when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/callscape-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    files, place = _file_system(spark, path)
+    files.deleteOnExit(place)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._callscape_path = path
+    return table
+
+
+def let_go(*tables: DataFrame) -> None:
+    """Delete tables of cut_lineage() that nothing reads any more (others than these are passed over)."""
+    for t in tables:
+        if path := getattr(t, "_callscape_path", None):
+            files, place = _file_system(t.sparkSession, path)
+            files.delete(place, True)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
     """df over all cores, for what is costly in each row.
 
     Only an input that would leave half of the cores idle (one small file, say) is shuffled, by its key; a large one
-    has more partitions and stays as it is read.
+    has more partitions and stays as it is read. No result depends on it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if 2 * df.rdd.getNumPartitions() <= cores else df
 
 
-def broadcast_if_bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows (counted, no more than one row beyond), else df as it is."""
-    return F.broadcast(df) if df.select(F.lit(1)).limit(rows + 1).count() <= rows else df
+def _same(a: str, b: str, on: Sequence[str]) -> list[Column]:
+    return [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in on]
 
 
-def salted_lookup(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Column, salts: int = 16, how: str = "inner") -> DataFrame:
-    """big joined to small, which has one row per key, with each key's rows of big spread over `salts` tasks.
+def split_lookup(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """big joined (inner or left) to small, which has one row per key; nulls in a key are a value.
 
-    small is repeated `salts` times, so a key that holds a third of big still splits.
+    Rows of hot keys would all go to a few tasks. There are at most HOT_SHARE such keys, whatever the size of big, so
+    their rows of small are broadcast and those of big stay where they are; all others are joined by shuffle, where no key
+    holds more than 1/HOT_SHARE of the rows. big is read up to three times. counts (on, _n) are its rows per key, if
+    known already.
     """
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [*on, "_salt"], how).drop("_salt")
+    if counts is None:
+        counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    rows = big.count()
+    hot = counts.where(F.col("_n") * HOT_SHARE >= rows).select(*on).collect() if rows else []
+    more = [c for c in small.columns if c not in on]
+    shape = [*[F.col(f"b.{c}").alias(c) for c in big.columns], *[F.col(f"s.{c}").alias(c) for c in more]]
+    if not hot:
+        return big.alias("b").join(small.alias("s"), _same("b", "s", on), how).select(*shape)
+    keys = F.broadcast(big.sparkSession.createDataFrame(hot, big.select(*on).schema))
+    few = F.broadcast(small.alias("b").join(keys.alias("h"), _same("b", "h", on), "left_semi"))
+    if how == "left":
+        few = F.broadcast(keys.alias("b").join(few.alias("s"), _same("b", "s", on), "left").select(*[F.col(f"b.{c}").alias(c) for c in on], *[F.col(f"s.{c}") for c in more]))
+    near = big.alias("b").join(few.alias("s"), _same("b", "s", on)).select(*shape)
+    rest = big.alias("b").join(keys.alias("h"), _same("b", "h", on), "left_anti").alias("b")
+    return near.unionByName(rest.join(small.alias("s"), _same("b", "s", on), how).select(*shape))
 
 
 def lag_in_periods(df: DataFrame, group: Sequence[str], order: str, value: str, out: str) -> DataFrame:

@@ -1,105 +1,103 @@
 """Parent-child links to full hierarchies, by pointer doubling.
 
-Every node starts with a pointer to its parent; each round replaces it by the pointer of the node it points to, so
-that the distance covered doubles and a tree of depth d is resolved in about log2(d) rounds. What is then unresolved
-leads into a loop. When the distance covered reaches the number of such nodes, every pointer is at a node *on* the
-loop, and every loop node is pointed at, so the set of targets tells the nodes on a loop from those below one.
+Every node starts with a pointer to its parent and a path segment, itself; each round replaces the pointer by that of the
+node it points to and puts that node's segment before its own, so that the distance covered doubles and a tree of
+depth d is resolved in about log2(d) rounds. Once a round resolves nothing, what is left leads into loops. From there on
+the pointers alone are doubled, until the set of nodes pointed at no longer shrinks: then it is the nodes *on* loops.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callscape.functions.cluster import cut_lineage
+from callscape.functions.cluster import cut_lineage, let_go
 from callscape.functions.names import plain_function, plain_module
 
 ON_LOOP, BELOW_LOOP = -1, -2
 
 
 def links(df: DataFrame, scope: Sequence[str], parent: Column, child: Column) -> DataFrame:
-    """One row (scope, node, up, inner) per node; up is null for a root, inner tells whether it has children.
+    """One row (scope, node, up) per node; up is null for a root.
 
     A link with a null end only makes its other end a node. Repeated links count once; of several parents the
-    smallest is taken. The parent's own row and the child's come from one scan and one shuffle.
+    smallest is followed, and other_parents() reports the others. Both ends come from one scan and one shuffle.
     """
-    both = df.select(*scope, F.explode(F.array(F.struct(child.alias("node"), parent.alias("up"), F.lit(False).alias("inner")), F.struct(parent.alias("node"), F.lit(None).cast("string").alias("up"), child.isNotNull().alias("inner")))).alias("_e"))
-    both = both.select(*scope, "_e.node", "_e.up", "_e.inner").where(F.col("node").isNotNull())
-    return both.groupBy(*scope, "node").agg(F.min("up").alias("up"), F.max("inner").alias("inner"))
+    both = df.select(*scope, F.explode(F.array(F.struct(child.alias("node"), parent.alias("up")), F.struct(parent.alias("node"), F.lit(None).cast("string").alias("up")))).alias("_e"))
+    return both.select(*scope, "_e.node", "_e.up").where(F.col("node").isNotNull()).groupBy(*scope, "node").agg(F.min("up").alias("up"))
 
 
-def _double(start: DataFrame, scope: Sequence[str], path: bool) -> tuple[DataFrame, DataFrame]:
-    """The resolved and the unresolved rows of start after pointer doubling.
+def other_parents(df: DataFrame, scope: Sequence[str], parent: Column, child: Column) -> DataFrame:
+    """(scope, node, followed, other): the links that links() does not follow, as their node has a smaller parent too."""
+    pairs = df.select(*scope, child.alias("node"), parent.alias("other")).where("node is not null and other is not null").distinct()
+    several = pairs.groupBy(*scope, "node").agg(F.min("other").alias("followed"), F.max("other").alias("_last")).where("followed <> _last").drop("_last")
+    on = [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*scope, "node"]]
+    found = pairs.alias("p").join(several.alias("s"), on).where("p.other <> s.followed")
+    return found.select(*[F.col(f"p.{s}") for s in scope], "p.node", "s.followed", "p.other")
 
-    As long as nodes under a root are open, each round resolves some (those less than twice as deep as what is
-    resolved). A round that resolves none leaves only nodes on and below loops, whose pointers never leave them:
-    from there on the rounds run over these alone, until they have gone as far as a scope has such nodes.
+
+def _resolve(nodes: DataFrame, scope: Sequence[str], names: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The nodes with an id each, and of these ids (id, root, path) in trees and (id, depth) on and below loops.
+
+    A path consists of ids, or of names. Rows that are resolved stay in the table of their round and only serve as
+    what others point to.
     """
-    cols = [*scope, "node", "anc", "dist", *(["path"] if path else []), "done"]
-    state = cut_lineage(start.select(*cols, F.col("done").alias("fresh")))
-    rounds = 0
+    numbered = cut_lineage(nodes.select(*scope, "node", "up").withColumn("id", F.monotonically_increasing_id()))
+    me, above = (F.col("a.node"), F.col("b.node")) if names else (F.col("a.id"), F.col("b.id"))
+    is_root, under_root = F.col("a.up").isNull(), F.col("a.up").isNotNull() & F.col("b.up").isNull()
+    up = numbered.alias("a").join(numbered.alias("b"), [*[F.col(f"a.{s}").eqNullSafe(F.col(f"b.{s}")) for s in scope], F.col("a.up") == F.col("b.node")], "left")
+    last = cut_lineage(up.select(
+        "a.id", F.coalesce("b.id", "a.id").alias("anc"), F.when(is_root, F.col("a.node")).when(under_root, F.col("b.node")).alias("root"),
+        F.when(under_root, F.array(above, me)).otherwise(F.array(me)).alias("path"), (is_root | under_root).alias("done"),
+    ))
+    done, rounds = [last.where("done")], 0
     while True:
-        counts = state.agg(F.count_if(~F.col("done")).alias("open"), F.count_if("fresh").alias("fresh")).first()
+        counts = last.agg(F.count_if("done").alias("fresh"), F.count_if(~F.col("done")).alias("open")).first()
         if not counts["open"] or (rounds and not counts["fresh"]):
             break
-        state = cut_lineage(state.where("done").withColumn("fresh", F.lit(False)).unionByName(_step(state, scope, path).withColumn("fresh", F.col("done"))))
+        open_ = last.where("not done")
+        step = open_.alias("a").join(reduce(DataFrame.unionByName, done, open_).alias("b"), F.col("a.anc") == F.col("b.id"))
+        last = cut_lineage(step.select("a.id", "b.anc", "b.root", F.concat("b.path", "a.path").alias("path"), "b.done"))
+        done.append(last.where("done"))
         rounds += 1
-    done, open_ = state.where("done").select(*cols[:-1]), state.where("not done").select(*cols)
-    most = (open_.groupBy(*scope).count().agg(F.max("count")).first()[0] or 0) if counts["open"] else 0
-    while most and 2**rounds < most:
-        open_ = cut_lineage(_step(open_, scope, path))
-        rounds += 1
-    return done, open_.drop("done")
+    trees = reduce(DataFrame.unionByName, done).select("id", "root", "path")
+    return numbered, trees, _looped(last.where("not done").select("id", "anc")) if counts["open"] else None
+
 
+def _looped(left: DataFrame) -> DataFrame:
+    """(id, depth) of nodes whose pointers (id, anc) never leave them: ON_LOOP or BELOW_LOOP.
 
-def _step(state: DataFrame, scope: Sequence[str], path: bool) -> DataFrame:
-    """The open rows of state, each with the pointer of the node it pointed to."""
-    at = [F.col(f"a.{s}").eqNullSafe(F.col(f"b.{s}")) for s in scope]
-    step = state.where("not done").alias("a").join(state.alias("b"), [*at, F.col("a.anc") == F.col("b.node")], "inner")
-    return step.select(
-        *[F.col(f"a.{s}") for s in scope], "a.node", F.col("b.anc").alias("anc"), (F.col("a.dist") + F.col("b.dist")).alias("dist"),
-        *([F.concat("b.path", "a.path").alias("path")] if path else []), "b.done",
-    )
+    The nodes that pointers of a distance lead to are among those of any shorter one. If they are as many at the
+    double distance, a further step keeps them all, so each of them is on a loop.
+    """
+    reached = left.select("anc").distinct().count()
+    while True:
+        further = cut_lineage(left.alias("a").join(left.alias("b"), F.col("a.anc") == F.col("b.id")).select("a.id", "b.anc"))
+        now = further.select("anc").distinct().count()
+        let_go(left)
+        left = further
+        if now == reached:
+            break
+        reached = now
+    on = left.select(F.col("anc").alias("id"), F.lit(True).alias("on")).distinct()
+    return left.join(on, "id", "left").select("id", F.when(F.col("on"), ON_LOOP).otherwise(BELOW_LOOP).cast("bigint").alias("depth"))
 
 
 def hierarchy(nodes: DataFrame, scope: Sequence[str], with_path: bool = False) -> DataFrame:
-    """(scope, node, root, depth) of every node of links(); with_path adds path, the nodes from the root down.
+    """(scope, node, root, depth) of every node of links(); with_path adds path, the nodes' names from the root down.
 
     A root has depth 0. A node on a loop (its own parent included) has root '' and depth -1, a node below a loop
-    root '' and depth -2; their path is null. No rows give no rows. Path arrays are only built for nodes known to
-    hang under a root, as on a loop they would grow without end.
+    root '' and depth -2; their path is null. No rows give no rows. Paths are built either way, as the depth is
+    their length; without with_path they hold ids of 8 bytes.
     """
-    nodes = cut_lineage(nodes)
-    # nodes without children wait: they only take over what their parent has found in the end
-    known = _inner_hierarchy(nodes.where("inner"), scope, with_path)
-    alone = nodes.where("not inner and up is null").select(*scope, "node", F.col("node").alias("root"), F.lit(0).cast("bigint").alias("depth"), *([F.array("node").alias("path")] if with_path else []))
-    at = [F.col(f"n.{s}").eqNullSafe(F.col(f"k.{s}")) for s in scope]
-    leaves = nodes.where("not inner and up is not null").alias("n").join(known.alias("k"), [*at, F.col("n.up") == F.col("k.node")])
-    leaves = leaves.select(
-        *[F.col(f"n.{s}") for s in scope], "n.node", "k.root", F.when(F.col("k.depth") < 0, BELOW_LOOP).otherwise(F.col("k.depth") + 1).cast("bigint").alias("depth"),
-        *([F.concat("k.path", F.array("n.node")).alias("path")] if with_path else []),
-    )
-    return known.unionByName(alone).unionByName(leaves)
-
-
-def _inner_hierarchy(nodes: DataFrame, scope: Sequence[str], with_path: bool) -> DataFrame:
-    start = nodes.select(*scope, "node", F.coalesce("up", "node").alias("anc"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("dist"), F.col("up").isNull().alias("done"))
-    done, rest = _double(start, scope, False)
-    on = rest.select(*scope, F.col("anc").alias("node"), F.lit(True).alias("on")).distinct()
-    cond = [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in [*scope, "node"]]
-    loops = rest.alias("r").join(on.alias("o"), cond, "left").select(
-        *[F.col(f"r.{s}") for s in scope], "r.node", F.lit("").alias("root"), F.when(F.col("o.on"), ON_LOOP).otherwise(BELOW_LOOP).cast("bigint").alias("depth")
-    )
-    if not with_path:
-        return done.select(*scope, "node", F.col("anc").alias("root"), F.col("dist").alias("depth")).unionByName(loops)
-    near = nodes.alias("n").join(done.alias("d"), [F.col(f"n.{k}").eqNullSafe(F.col(f"d.{k}")) for k in [*scope, "node"]], "left_semi")
-    # a resolved pointer keeps its own node in its path, so that concatenation along the pointers gives the whole path
-    start = near.select(*scope, "node", F.coalesce("up", "node").alias("anc"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("dist"), F.array("node").alias("path"), F.col("up").isNull().alias("done"))
-    trees, _ = _double(start, scope, True)
-    trees = trees.select(*scope, "node", F.col("anc").alias("root"), F.col("dist").alias("depth"), "path")
-    return trees.unionByName(loops.withColumn("path", F.lit(None).cast("array<string>")))
+    numbered, trees, loops = _resolve(nodes, scope, with_path)
+    found = trees.select("id", "root", (F.size("path") - 1).cast("bigint").alias("depth"), *(["path"] if with_path else []))
+    if loops is not None:
+        found = found.unionByName(loops.select("id", F.lit("").alias("root"), "depth", *([F.lit(None).cast("array<string>").alias("path")] if with_path else [])))
+    return numbered.join(found, "id").select(*scope, "node", "root", "depth", *(["path"] if with_path else []))
 
 
 def descendants(paths: DataFrame, scope: Sequence[str]) -> DataFrame:
@@ -130,7 +128,7 @@ def all_descendants(nodes: DataFrame, scope: Sequence[str]) -> DataFrame:
     pairs = _pairs(known, scope).withColumnRenamed("at", "depth")
     rest = cut_lineage(nodes.alias("n").join(known.where("depth < 0").alias("k"), of("n", "k", "node")).select("n.*", "k.depth"))
     # every node of a loop is the root of what hangs under it alone
-    trees = rest.select(*scope, "node", F.when(F.col("depth") == BELOW_LOOP, F.col("up")).alias("up"), "inner")
+    trees = rest.select(*scope, "node", F.when(F.col("depth") == BELOW_LOOP, F.col("up")).alias("up"))
     trees = cut_lineage(hierarchy(trees, scope, with_path=True))
     under = _pairs(trees, scope).withColumn("at", F.when(F.col("at") == 0, ON_LOOP).otherwise(BELOW_LOOP).cast("bigint")).withColumnRenamed("at", "depth")
     # and what hangs under one is also below the loop's other nodes, farther by the way round to it
@@ -158,15 +156,20 @@ def _loop_places(nodes: DataFrame, scope: Sequence[str]) -> DataFrame:
         state = cut_lineage(step.select(*[F.col(f"a.{s}") for s in scope], "a.node", "b.anc", F.least("a.loop", "b.loop").alias("loop")))
         seen *= 2
     on = [F.col(f"n.{k}").eqNullSafe(F.col(f"l.{k}")) for k in [*scope, "node"]]
-    chain = nodes.alias("n").join(state.alias("l"), on).select("n.*", "l.loop").select(*scope, "node", F.when(F.col("node") != F.col("loop"), F.col("up")).alias("up"), F.lit(True).alias("inner"))
+    chain = nodes.alias("n").join(state.alias("l"), on).select("n.*", "l.loop").select(*scope, "node", F.when(F.col("node") != F.col("loop"), F.col("up")).alias("up"))
     placed = cut_lineage(hierarchy(chain, scope)).select(*scope, "node", F.col("root").alias("loop"), F.col("depth").alias("place"))
     size = placed.groupBy(*scope, "loop").agg(F.count(F.lit(1)).alias("size"))
     on = [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*scope, "loop"]]
     return placed.alias("p").join(size.alias("s"), on).select("p.*", "s.size")
 
 
-def path_step_links(steps: DataFrame) -> DataFrame:
-    """links() of PathStep rows: the callee hangs under the caller, and a node belongs to its trace."""
+def path_step_ends(steps: DataFrame) -> tuple[DataFrame, list[str], Column, Column]:
+    """What links() takes, of PathStep rows: the callee hangs under the caller, and a node belongs to its trace."""
     parent = F.concat(plain_module("caller_module"), F.lit("."), plain_function("caller_function"))
     child = F.concat(plain_module("callee_module"), F.lit("."), plain_function("callee_function"))
-    return links(steps, ["trace_id"], parent, child)
+    return steps, ["trace_id"], parent, child
+
+
+def path_step_links(steps: DataFrame) -> DataFrame:
+    """links() of PathStep rows."""
+    return links(*path_step_ends(steps))

@@ -31,6 +31,10 @@ def p1_all_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.all_descendants(hierarchy.path_step_links(table(spark, folder, "path_steps")), ["trace_id"])
 
 
+def p1_other_parents(spark: SparkSession, folder: str) -> DataFrame:
+    return hierarchy.other_parents(*hierarchy.path_step_ends(table(spark, folder, "path_steps")))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return schema_drift.schema_changes(table(spark, folder, "extract_files"))
 
@@ -92,7 +96,7 @@ def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
     return c.groupBy("snapshot_no", "change_kind").agg(F.count(F.lit(1)).alias("n_clauses"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_all_descendants, p2_found, p2_locations, p2_specs, p2_versions, p3_found, p3_bridge, p3_objects, p3_clauses, p4_found, p4_pairs, p5_found, p5_counts, p6_found, p6_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_all_descendants, p1_other_parents, p2_found, p2_locations, p2_specs, p2_versions, p3_found, p3_bridge, p3_objects, p3_clauses, p4_found, p4_pairs, p5_found, p5_counts, p6_found, p6_counts)}
 
 
 def plain_sql(module: str) -> str:
@@ -206,6 +210,7 @@ SQL: dict[str, str] = {
     "p1_found": f"WITH {_NODES} SELECT trace_id, node, root, depth FROM tree UNION ALL SELECT trace_id, node, '', CASE WHEN on_loop THEN -1 ELSE -2 END FROM looped",
     "p1_paths": f"WITH {_NODES} SELECT trace_id, node, root, depth, path FROM tree UNION ALL SELECT trace_id, node, '', CASE WHEN on_loop THEN -1 ELSE -2 END, NULL FROM looped",
     "p1_descendants": f"WITH {_NODES}, below AS (SELECT n.trace_id, n.up AS node, n.node AS descendant, 1::BIGINT AS distance FROM nodes n JOIN tree t ON t.trace_id = n.trace_id AND t.node = n.node WHERE n.up IS NOT NULL UNION ALL SELECT b.trace_id, n.up, b.descendant, b.distance + 1 FROM below b JOIN nodes n ON n.trace_id = b.trace_id AND n.node = b.node WHERE n.up IS NOT NULL) SELECT * FROM below",
+    "p1_other_parents": f"WITH {_NODES} SELECT DISTINCT l.trace_id, l.node, n.up AS followed, l.up AS other FROM link l JOIN nodes n ON n.trace_id = l.trace_id AND n.node = l.node WHERE l.up <> n.up",
     "p4_found": f"WITH {_CALLS}, n AS (SELECT project, callee_module, callee_function, count(*) AS n FROM c GROUP BY ALL) SELECT project, callee_module, callee_function FROM n QUALIFY n * 20 >= sum(n) OVER (PARTITION BY project)",
     "p4_pairs": f"WITH {_CALLS} SELECT project, callee_module, callee_function, count(*) AS n_calls, min(extracted_at) AS first_at, max(extracted_at) AS last_at FROM c GROUP BY ALL",
     "p5_found": f"{_ORPHANS} SELECT call_id, reason FROM o",
