@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from callscape.functions.cluster import lag_in_periods, salted_lookup
+from callscape.functions import cluster
+from callscape.functions.cluster import cut_lineage, lag_in_periods, let_go, shared_folder, split_lookup
 from callscape.functions.names import plain_arity, plain_function, plain_hex, plain_module
 from callscape.operators import hierarchy, nested, orphans, schema_drift, snapshot_diff, tree_aggregate
 from callscape.plans import data_queries
@@ -36,8 +38,40 @@ def test_lag_and_lookup(spark):
     for g, _, v in sorted(data, key=lambda x: x[1]):
         want[v], last[g] = last.get(g), v
     assert got == want
-    small = spark.createDataFrame([("a", 1), ("b", 2)], "g string, w long")
-    assert Counter(x.w for x in salted_lookup(df, small, ["g"], F.col("v")).collect()) == Counter({1: sum(x[0] == "a" for x in data), 2: sum(x[0] == "b" for x in data)})
+
+
+@pytest.mark.parametrize("share", [1000, 3, 1])
+def test_split_lookup(spark, monkeypatch, share):
+    """Hot keys by broadcast, the others by shuffle: the same rows as a plain join, null keys included."""
+    monkeypatch.setattr(cluster, "HOT_SHARE", share)
+    big = spark.createDataFrame([(k, i) for i, k in enumerate([*"aaaaaaab" * 20, "c", None, None])], "g string, v long")
+    small = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("z", 4)], "g string, w long")
+    want = {"a": 1, "b": 2, None: 3}
+    got = rows(split_lookup(big, small, ["g"]))
+    assert got == sorted(((r.g, r.v, want[r.g]) for r in big.collect() if r.g in want), key=repr)
+    assert rows(split_lookup(big, small, ["g"], "left")) == sorted(((r.g, r.v, want.get(r.g)) for r in big.collect()), key=repr)
+    assert split_lookup(big.limit(0), small, ["g"]).count() == 0 and split_lookup(big, small.limit(0), ["g"], "left").count() == big.count()
+
+
+def test_tables_in_the_shared_folder(spark):
+    t = cut_lineage(spark.range(5).toDF("id"))
+    place = Path(t._callscape_path.removeprefix("file:"))
+    assert t.count() == 5 and place.exists() and t._callscape_path.startswith(shared_folder(spark))
+    let_go(t, spark.range(1))
+    assert not place.exists()
+
+    class Cluster:
+        """A session on a cluster that names no folder."""
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getConf = staticmethod(dict)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Cluster)
 
 
 # 1: hierarchies
@@ -109,6 +143,22 @@ def test_descendants_on_and_below_loops(spark):
     assert hierarchy.all_descendants(links.limit(0), ["s"]).count() == 0
 
 
+def test_other_parents(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (1, "b", "x"), (1, "b", "x"), (1, "c", "x"), (2, "b", "x"), (1, None, "x"), (1, "a", "y"), (None, "q", "z"), (None, "p", "z")], "s long, p string, c string")
+    ends = df, ["s"], F.col("p"), F.col("c")
+    assert rows(hierarchy.other_parents(*ends)) == sorted([(1, "x", "a", "b"), (1, "x", "a", "c"), (None, "z", "p", "q")], key=repr)
+    assert {(r.s, r.node): r.root for r in hierarchy.hierarchy(hierarchy.links(*ends), ["s"]).collect()}[1, "x"] == "a"
+
+
+def test_hierarchy_of_a_star_and_long_loop(spark):
+    """Many children of one node, and a loop longer than the deepest tree."""
+    star = [("hub", f"s{i}") for i in range(500)] + [(f"s{i}", f"t{i}") for i in range(50)]
+    loop = [(f"l{i}", f"l{(i + 1) % 37}") for i in range(37)] + [("l3", "b0"), *((f"b{i}", f"b{i + 1}") for i in range(20))]
+    df = spark.createDataFrame([(1, *e) for e in star + loop], "s long, p string, c string")
+    got = {r.node: (r.root, r.depth) for r in hierarchy.hierarchy(hierarchy.links(df, ["s"], F.col("p"), F.col("c")), ["s"]).collect()}
+    assert got == {n: v for (_, n), v in _brute_tree([(1, *e) for e in star + loop]).items()}
+
+
 def test_hierarchy_deep_chain_and_empty(spark):
     chain = spark.range(300).select(F.lit(1).alias("s"), F.col("id").cast("string").alias("p"), (F.col("id") + 1).cast("string").alias("c"))
     got = hierarchy.hierarchy(hierarchy.links(chain, ["s"], F.col("p"), F.col("c")), ["s"], with_path=True)
@@ -260,6 +310,9 @@ def test_tree_aggregate(spark):
     for fan_in in (2, 8):
         got = {x.k: (x.n, x.nv, x.s, x.lo, x.hi) for x in tree_aggregate.tree_aggregate(df, ["k"], aggs, fan_in).collect()}
         assert got == {k: (len(v), len([x for x in v if x is not None]), sum(x or 0 for x in v), min(x for x in v if x is not None), 8) for k, v in want.items()}
+        for chunks in (1, 3, 70):
+            cut = df.withColumn("_chunk", F.monotonically_increasing_id() % chunks)
+            assert {x.k: x.n for x in tree_aggregate.tree_aggregate(cut, ["k"], aggs, fan_in, chunks).collect()} == {k: len(v) for k, v in want.items()}
     assert tree_aggregate.tree_aggregate(df.limit(0), ["k"], aggs).count() == 0
 
 
@@ -267,6 +320,8 @@ def test_heavy_pairs_edges(spark):
     data = [(1, "p", "A", "f"), (1, "p", "Elixir.A", "f/1"), (2, "p", "A", "%"), (3, "p", None, "f"), (4, "p", "A", None), (None, "p", "B", "f"), (5, None, "A", "f")]
     df = spark.createDataFrame(data, "call_id long, project string, callee_module string, callee_function string")
     assert rows(tree_aggregate.heavy_pairs(df)) == [("p", "A", "%"), ("p", "A", "f"), (None, "A", "f")] or rows(tree_aggregate.heavy_pairs(df)) == [(None, "A", "f"), ("p", "A", "%"), ("p", "A", "f")]
+    calls = data_queries.table(spark, DATA, "calls")
+    assert rows(tree_aggregate.heavy_pairs(calls, fan_in=2, chunk_rows=100)) == rows(tree_aggregate.heavy_pairs(calls))
 
 
 # 5: orphans
