@@ -1,8 +1,10 @@
 """Deeply nested records as related flat tables, by Merkle identities of their subtrees.
 
 Each object of a document is canonicalised and hashed bottom-up: its hash covers its kind, its own scalar fields and
-the hashes of its children with their ordinals. An object that occurs many times is stored once (`objects`); every
-occurrence has a bridge row with the hashes of itself and its parent, its ordinals and its place in the document.
+the hashes of its children, each with its name or ordinal within the object. So the hash is that of the subtree alone,
+wherever it stands. An object that occurs many times is stored once (`objects`); every occurrence has a bridge row
+with the hashes of itself and its parent, its ordinals and its place in the document. Bodies are parsed once; all
+tables come from objects and bridge.
 """
 
 from __future__ import annotations
@@ -10,19 +12,24 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscape.functions.cluster import spread
+from callscape.functions import arrow
+from callscape.functions.cluster import cut_lineage, split_lookup, spread
 from callscape.functions.names import plain_module
 
 #: Kinds of records, parents first; `graph` and `struct` are only parents.
 KINDS = ("graph", "struct", "struct_field", "location", "spec", "clause", "input", "result", "type", "param")
-_ROW = "graph_id bigint, project string, received_at timestamp_ntz, root_hash string, occ_no bigint, parent_no bigint, record_kind string, module string, item string, item_no bigint, clause_no bigint, element_no bigint, node_hash string, parent_hash string, content string"
-_NAMES = [x.split()[0] for x in _ROW.split(", ")]
+_RECORD = [
+    *((n, arrow.WHOLE) for n in ("occ_no", "parent_no")), *((n, arrow.TEXT) for n in ("record_kind", "module", "item")), *((n, arrow.WHOLE) for n in ("item_no", "clause_no", "element_no")),
+    ("node_hash", arrow.BYTES), ("parent_hash", arrow.BYTES), ("content", arrow.TEXT),
+]
+_PLACE = ["module", "item", "item_no", "clause_no", "element_no"]
 
 
 def document(body: str | None) -> dict | None:
@@ -35,7 +42,7 @@ def document(body: str | None) -> dict | None:
         if isinstance(d, str):
             try:
                 d = json.loads(d)
-            except ValueError:
+            except (ValueError, RecursionError):
                 return None
         elif isinstance(d, list) and len(d) == 1:
             d = d[0]
@@ -58,19 +65,35 @@ def by_module(section: Any) -> Iterator[tuple[str, Any]]:
 _canonical = json.JSONEncoder(sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode
 
 
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+@lru_cache(maxsize=65536)
+def _leaf(kind: str, content: str) -> bytes:
+    return _digest(f"{kind}|{content}")
+
+
 class _Node:
-    __slots__ = ("children", "content", "digest", "kind", "place")
+    """An object: its kind, its place in the document, its own scalars, its children and their names or ordinals in it."""
+
+    __slots__ = ("children", "content", "digest", "edges", "kind", "place")
 
     def __init__(self, kind: str, place: tuple, scalars: Any) -> None:
-        self.kind, self.place, self.content, self.children, self.digest = kind, place, _canonical(scalars), [], ""
+        self.kind, self.place, self.content, self.children, self.edges, self.digest = kind, place, _canonical(scalars), [], [], b""
 
-    def add(self, kind: str, place: tuple, scalars: Any) -> _Node:
+    def add(self, kind: str, edge: Any, place: tuple, scalars: Any) -> _Node:
         self.children.append(node := _Node(kind, place, scalars))
+        self.edges.append(edge)
         return node
 
-    def seal(self) -> str:
-        inner = "".join([f"|{c.place[1:]}{c.seal()}" for c in self.children])
-        self.digest = hashlib.blake2b(f"{self.kind}|{self.content}{inner}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+    def seal(self) -> bytes:
+        if self.children:
+            # children are taken in the order of their edges, so that the order of keys in the text does not matter
+            inner = sorted((c.kind, _canonical(e), c.seal().hex()) for c, e in zip(self.children, self.edges, strict=True))
+            self.digest = _digest(f"{self.kind}|{self.content}|{inner}")
+        else:
+            self.digest = _leaf(self.kind, self.content)
         return self.digest
 
 
@@ -78,49 +101,45 @@ def _own(d: Any, without: tuple[str, ...] = ()) -> Any:
     return {k: v for k, v in d.items() if k not in without} if isinstance(d, dict) else d
 
 
-def _number(v: Any) -> int | None:
-    return v if isinstance(v, int) and not isinstance(v, bool) else None
-
-
 def tree(d: dict) -> _Node:
     """The records of a document; place is (module, item, item_no, clause_no, element_no). Null elements keep their number but are no records."""
     root = _Node("graph", ("", "", -1, -1, -1), {})
     for m, s in by_module(d.get("structs")):
-        struct = root.add("struct", (m, "", -1, -1, -1), _own(s, ("fields",)))
+        struct = root.add("struct", m, (m, "", -1, -1, -1), _own(s, ("fields",)) if isinstance(s, dict) else {})
         for i, f in enumerate(listed(s.get("fields") if isinstance(s, dict) else s)):
             if f is not None:
-                struct.add("struct_field", (m, f.get("field") if isinstance(f, dict) else f, i, -1, -1), f)
+                struct.add("struct_field", i, (m, f.get("field") if isinstance(f, dict) else f, i, -1, -1), f)
     for m, rows in by_module(d.get("function_locations")):
         for key, row in (rows.items() if isinstance(rows, dict) else ()):
             if row is not None:
-                root.add("location", (m, key, -1, -1, -1), row)
+                root.add("location", (m, key), (m, key, -1, -1, -1), row)
     for m, rows in by_module(d.get("specs")):
         for i, s in enumerate(listed(rows)):
             if not isinstance(s, dict):
                 continue
             item = f"{s.get('name')}/{s.get('arity')}"
-            spec = root.add("spec", (m, item, i, -1, -1), _own(s, ("clauses",)))
+            spec = root.add("spec", (m, i), (m, item, i, -1, -1), _own(s, ("clauses",)))
             for j, c in enumerate(listed(s.get("clauses"))):
                 if c is None:
                     continue
-                clause = spec.add("clause", (m, item, i, j, -1), _own(c, ("input_strings", "return_strings")))
+                clause = spec.add("clause", j, (m, item, i, j, -1), _own(c, ("input_strings", "return_strings")))
                 for kind, field in (("input", "input_strings"), ("result", "return_strings")):
                     for k, e in enumerate(listed(c.get(field) if isinstance(c, dict) else None)):
                         if e is not None:
-                            clause.add(kind, (m, item, i, j, k), e)
+                            clause.add(kind, k, (m, item, i, j, k), e)
     for m, rows in by_module(d.get("types")):
         for i, t in enumerate(listed(rows)):
             if not isinstance(t, dict):
                 continue
-            typed = root.add("type", (m, t.get("name"), i, -1, -1), _own(t, ("params",)))
+            typed = root.add("type", (m, i), (m, t.get("name"), i, -1, -1), _own(t, ("params",)))
             for k, e in enumerate(listed(t.get("params"))):
                 if e is not None:
-                    typed.add("param", (m, t.get("name"), i, -1, k), e)
+                    typed.add("param", k, (m, t.get("name"), i, -1, k), e)
     root.seal()
     return root
 
 
-def _flatten(node: _Node, out: list, parent: tuple[int, str] = (-1, "")) -> None:
+def _flatten(node: _Node, out: list, parent: tuple[int, bytes | None] = (-1, None)) -> None:
     no = len(out)
     m, item, *numbers = node.place
     out.append((no, parent[0], node.kind, m, item if isinstance(item, str) or item is None else json.dumps(item), *numbers, node.digest, parent[1], node.content))
@@ -128,57 +147,74 @@ def _flatten(node: _Node, out: list, parent: tuple[int, str] = (-1, "")) -> None
         _flatten(c, out, (no, node.digest))
 
 
-def occurrences(graphs: DataFrame, roots_only: bool = False) -> DataFrame:
-    """One row per record of each complete delivery, with its content; see bridge() for one delivery per graph.
+def deliveries(graphs: DataFrame) -> DataFrame:
+    """(graph_id, project, received_at, _body, records) of each delivery whose body is complete; records are of all levels.
 
-    roots_only gives the rows of kind `graph` alone. Graphs without a number are left out.
+    Graphs without a number are left out. _body is the digest of the body.
     """
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows: list[tuple] = []
-            for no, project, at, body in zip(pdf["graph_id"], pdf["project"], pdf["received_at"], pdf["body"], strict=True):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, counts, rows = [], [], []
+            for at, body in enumerate(batch.column(4).to_pylist()):
                 if (d := document(body)) is not None:
                     flat: list[tuple] = []
-                    root = tree(d)
-                    if roots_only:
-                        root.children = []
-                    _flatten(root, flat)
-                    rows += [(no, project, at, flat[0][8], *r) for r in flat]
-            yield pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object if n != "received_at" else "datetime64[ns]") for i, n in enumerate(_NAMES)})
+                    _flatten(tree(d), flat)
+                    kept.append(at), counts.append(len(flat))
+                    rows += flat
+            some = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*some.columns[:4], arrow.records(counts, rows, _RECORD)], ["graph_id", "project", "received_at", "_body", "records"])
+
+    raw = graphs.select(F.col("graph_id").cast("bigint").alias("graph_id"), "project", F.col("received_at").cast("timestamp_ntz").alias("received_at"), F.md5("body").alias("_body"), "body")
+    return spread(raw.where("graph_id is not null and body is not null"), "graph_id").mapInArrow(scan, f"graph_id bigint, project string, received_at timestamp_ntz, _body string, records {arrow.ddl(_RECORD)}")
+
+
+def store(graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Objects and bridge: (node_hash, record_kind, content, n_occurrences) and (graph_id, project, occ_no, parent_no, module, item, item_no, clause_no, element_no, node_hash, parent_hash).
+
+    Of each graph the delivery counts that was received last (a null time is before all; of equal times the one with the
+    larger digest of its body). Both are tables in the shared folder.
+    """
+    order = F.struct(F.coalesce("received_at", F.lit("1900-01-01").cast("timestamp_ntz")), "_body")
+    newest = deliveries(graphs).groupBy("graph_id").agg(F.max_by(F.struct("project", "records"), order).alias("_g"))
+    rows = cut_lineage(newest.select("graph_id", "_g.project", F.inline("_g.records")).withColumn("module", plain_module("module")))
+    objects = cut_lineage(rows.groupBy("node_hash", "record_kind", "content").agg(F.count(F.lit(1)).alias("n_occurrences")))
+    return objects, rows.drop("record_kind", "content")
+
 
-    raw = graphs.select(F.col("graph_id").cast("bigint").alias("graph_id"), "project", F.col("received_at").cast("timestamp_ntz").alias("received_at"), "body")
-    return spread(raw.where("graph_id is not null"), "graph_id").mapInPandas(scan, _ROW).withColumn("module", plain_module("module"))
+def placed(objects: DataFrame, bridge: DataFrame, *more: str) -> DataFrame:
+    """The bridge with the record_kind (and more columns) of each occurrence's object; objects that occur all over are joined by broadcast."""
+    return split_lookup(bridge, objects.select("node_hash", "record_kind", *more), ["node_hash"], counts=objects.select("node_hash", F.col("n_occurrences").alias("_n")))
 
 
-def latest(graphs: DataFrame) -> DataFrame:
-    """The records of the delivery of each graph that was received last (of those whose JSON is complete), once."""
-    newest = F.struct(F.coalesce("received_at", F.lit("1900-01-01").cast("timestamp_ntz")), F.col("root_hash"))
-    roots = occurrences(graphs, roots_only=True).groupBy("graph_id").agg(F.max_by("root_hash", newest).alias("root_hash"))
-    return occurrences(graphs).join(roots, ["graph_id", "root_hash"], "left_semi").dropDuplicates(["graph_id", "occ_no"])
+def with_parents(rows: DataFrame) -> DataFrame:
+    """placed() rows with the kind and place of each one's parent, by its number in the graph (null for a graph itself)."""
+    up = rows.select("graph_id", F.col("occ_no").alias("parent_no"), *[F.col(c).alias(f"parent_{c.removeprefix('record_')}") for c in ("record_kind", *_PLACE[:4])])
+    return split_lookup(rows, up, ["graph_id", "parent_no"], "left")
 
 
-def bridge(graphs: DataFrame) -> DataFrame:
-    """Every occurrence of every record: its number and its parent's in the graph, both hashes, ordinals and place."""
-    return latest(graphs).drop("content", "received_at", "root_hash")
+def bridge_table(graphs: DataFrame) -> DataFrame:
+    """Every occurrence below graphs: its place and its parent's."""
+    rows = cut_lineage(placed(*store(graphs)))
+    cols = ["graph_id", "record_kind", *_PLACE, *[f"parent_{c}" for c in ("kind", *_PLACE[:4])]]
+    return with_parents(rows).where("record_kind <> 'graph'").select(*cols)
 
 
-def objects(graphs: DataFrame) -> DataFrame:
-    """(node_hash, record_kind, content, n_occurrences): each distinct object once; content are its own scalar fields."""
-    rows = latest(graphs)
-    return rows.groupBy("node_hash").agg(F.min("record_kind").alias("record_kind"), F.min("content").alias("content"), F.count(F.lit(1)).alias("n_occurrences"))
+def object_contents(graphs: DataFrame) -> DataFrame:
+    """(record_kind, content, n_objects, n_occurrences): own scalars of the objects below graphs, how many subtrees have them, and how often these occur."""
+    objects, _ = store(graphs)
+    return objects.where("record_kind <> 'graph'").groupBy("record_kind", "content").agg(F.count(F.lit(1)).alias("n_objects"), F.sum("n_occurrences").alias("n_occurrences"))
 
 
 def flat_table(graphs: DataFrame, kind: str) -> DataFrame:
-    """All records of a kind, each with its parent's kind and place: the bridge joined to the objects it stores once."""
-    rows = latest(graphs)
-    b = rows.where(F.col("record_kind") == kind).drop("content", "received_at", "root_hash", "project")
-    o = rows.where(F.col("record_kind") == kind).groupBy("node_hash").agg(F.min("content").alias("content"))
-    p = rows.select("graph_id", F.col("occ_no").alias("parent_no"), F.col("record_kind").alias("parent_kind"), F.col("item").alias("parent_item"))
-    return b.join(p, ["graph_id", "parent_no"], "left").join(o, "node_hash", "left")
+    """(graph_id, place, content, parent's kind and place): all records of a kind, from the bridge and the objects stored once."""
+    objects, bridge = store(graphs)
+    rows = cut_lineage(with_parents(cut_lineage(placed(objects, bridge))).where(F.col("record_kind") == kind))
+    mine = objects.where(F.col("record_kind") == kind)
+    found = split_lookup(rows, mine.select("node_hash", "content"), ["node_hash"], counts=mine.select("node_hash", F.col("n_occurrences").alias("_n")))
+    return found.select("graph_id", *_PLACE, "content", *[f"parent_{c}" for c in ("kind", *_PLACE[:4])])
 
 
 def record_places(graphs: DataFrame) -> DataFrame:
     """(graph_id, record_kind, module, item, item_no, clause_no, element_no) of all records below graphs and structs."""
-    b = bridge(graphs).where("record_kind not in ('graph', 'struct')")
-    return b.select("graph_id", "record_kind", "module", "item", "item_no", "clause_no", "element_no")
+    return placed(*store(graphs)).where("record_kind not in ('graph', 'struct')").select("graph_id", "record_kind", *_PLACE)
