@@ -42,14 +42,15 @@ def _file_system(spark: SparkSession, path: str) -> tuple:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, *apart: str) -> DataFrame:
     """The rows of df, written once to the shared folder and read from there, so that no executor is needed for them any more.
 
-    The table is deleted by let_go(), or else when the application ends.
+    Rows that differ in the columns `apart` are kept in files apart, for parts_of(). The table is deleted by let_go(), or
+    else when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/callscape-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    df.write.partitionBy(*apart).parquet(path)
     files, place = _file_system(spark, path)
     files.deleteOnExit(place)
     table = spark.read.schema(df.schema).parquet(path)
@@ -57,6 +58,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return table
 
 
+def parts_of(tables: Sequence[DataFrame], part: str) -> DataFrame:
+    """The rows of one part (column=value, of which each of the tables has rows) of several tables, in a single scan."""
+    first = tables[0]
+    return first.sparkSession.read.schema(first.drop(part.split("=")[0]).schema).parquet(*[f"{t._callscape_path}/{part}" for t in tables])
+
+
 def let_go(*tables: DataFrame) -> None:
     """Delete tables of cut_lineage() that nothing reads any more (others than these are passed over)."""
     for t in tables:

@@ -9,12 +9,11 @@ the pointers alone are doubled, until the set of nodes pointed at no longer shri
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callscape.functions.cluster import cut_lineage, let_go
+from callscape.functions.cluster import cut_lineage, let_go, parts_of
 from callscape.functions.names import plain_function, plain_module
 
 ON_LOOP, BELOW_LOOP = -1, -2
@@ -52,19 +51,20 @@ def _resolve(nodes: DataFrame, scope: Sequence[str], names: bool) -> tuple[DataF
     last = cut_lineage(up.select(
         "a.id", F.coalesce("b.id", "a.id").alias("anc"), F.when(is_root, F.col("a.node")).when(under_root, F.col("b.node")).alias("root"),
         F.when(under_root, F.array(above, me)).otherwise(F.array(me)).alias("path"), (is_root | under_root).alias("done"),
-    ))
-    done, rounds = [last.where("done")], 0
+    ), "done")
+    done: list[DataFrame] = []
     while True:
-        counts = last.agg(F.count_if("done").alias("fresh"), F.count_if(~F.col("done")).alias("open")).first()
-        if not counts["open"] or (rounds and not counts["fresh"]):
+        counts = {r["done"]: r["count"] for r in last.groupBy("done").count().collect()}
+        if True in counts:
+            done.append(last)
+        if False not in counts or True not in counts:
             break
-        open_ = last.where("not done")
-        step = open_.alias("a").join(reduce(DataFrame.unionByName, done, open_).alias("b"), F.col("a.anc") == F.col("b.id"))
-        last = cut_lineage(step.select("a.id", "b.anc", "b.root", F.concat("b.path", "a.path").alias("path"), "b.done"))
-        done.append(last.where("done"))
-        rounds += 1
-    trees = reduce(DataFrame.unionByName, done).select("id", "root", "path")
-    return numbered, trees, _looped(last.where("not done").select("id", "anc")) if counts["open"] else None
+        open_ = parts_of([last], "done=false")
+        known = parts_of(done, "done=true").withColumn("done", F.lit(True)).unionByName(open_.withColumn("done", F.lit(False)))
+        step = open_.alias("a").join(known.alias("b"), F.col("a.anc") == F.col("b.id"))
+        last = cut_lineage(step.select("a.id", "b.anc", "b.root", F.concat("b.path", "a.path").alias("path"), "b.done"), "done")
+    trees = parts_of(done, "done=true").select("id", "root", "path") if done else last.where("done").select("id", "root", "path")
+    return numbered, trees, _looped(parts_of([last], "done=false").select("id", "anc")) if False in counts else None
 
 
 def _looped(left: DataFrame) -> DataFrame:
