@@ -204,19 +204,52 @@ def test_drift(spark):
     assert [(r.module, r.inputs, r.returns) for r in schema_drift.consistent_specs(_files(spark, data)).collect()] == [("M", "t(), u()", "v()")]
     assert schema_drift.schema_changes(_files(spark, data).limit(0)).count() == 0
     versions = schema_drift.fingerprint_versions(_files(spark, data)).collect()
-    assert sum(r.n_files for r in versions) == 7 and any("rename file src" in r.steps for r in versions)
+    assert sum(r.n_files for r in versions) == 7
+    assert any("rename file src path; rename file path sourceFile; rename file sourceFile source_file; rename file source_file file; cast file object list; cast file list string" in r.steps for r in versions)
 
 
 def test_specs_of_several_clauses(spark):
     clause = lambda a, r: {"full": f"f({a}) :: {r}", "input_strings": [a], "return_strings": [r]}
     f = {"name": "f", "arity": 1, "line": 2, "clauses": [clause("a()", ":ok"), None, clause("b()", ":no"), clause("b()", ":no")]}
     other = f | {"clauses": [clause("a()", ":ok"), None, clause("c()", ":no")]}
-    body = {"specs": {"M": [f, other], "N": {"name": "g", "clauses": clause("x", "y")}, "O": [{"name": "h", "clauses": []}]}}
+    body = {"specs": {"Elixir.M": [f, other, f], "N": {"name": "g", "clauses": clause("x", "y")}, "O": [{"name": "h", "clauses": []}, None, 3]}}
+    one = [("f", 0, 0, "a()"), ("f", 0, 2, "b()"), ("f", 0, 3, "b()")]
+    want = [*one, ("f", 1, 0, "a()"), ("f", 1, 2, "c()"), *((n, 2, c, i) for n, _, c, i in one), ("g", 0, 0, "x"), ("h", 0, -1, "")]
     got = schema_drift.consistent_specs(_files(spark, [_file(1, "p", 1, body), _file(1, "p", 1, body, 5)])).collect()
-    assert sorted((r.name, r.clause_no, r.inputs, r.returns, r.full) for r in got) == [
-        ("f", 0, "a()", ":ok", "f(a()) :: :ok"), ("f", 2, "b()", ":no", "f(b()) :: :no"), ("f", 2, "c()", ":no", "f(c()) :: :no"), ("f", 3, "b()", ":no", "f(b()) :: :no"),
-        ("g", 0, "x", "y", "f(x) :: y"), ("h", -1, "", "", None),
-    ]
+    assert sorted((r.name, r.spec_no, r.clause_no, r.inputs) for r in got) == want and {r.module for r in got} == {"M", "N", "O"}
+    # a list of specs that name their modules gives the same
+    listed = {"contracts": [{**f, "module": "Elixir.M"}, {"name": "g", "module": "N", "clauses": clause("x", "y")}, {**other, "module": "Elixir.M"}, {**f, "module": "Elixir.M"}, {"name": "h", "module": "O"}, 7]}
+    again = schema_drift.consistent_specs(_files(spark, [_file(1, "p", 1, listed)])).collect()
+    assert sorted(again) == sorted(got)
+
+
+def test_newest_delivery_decides(spark):
+    old, new = _locations(complexity=3, file="old"), _locations(complexity=9, file="new")
+    spec = lambda n: {"specs": {"M": [{"name": n, "clauses": [{"full": n}]}]}}
+    for data in ([_file(1, "p", 1, old | spec("a"), 1), _file(1, "p", 1, new | spec("b"), 2)], [_file(1, "p", 1, new | spec("b"), 2), _file(1, "p", 1, old | spec("a"), 1), _file(1, "p", 1, '{"cut', 9)]):
+        files = _files(spark, data)
+        assert {r.name: (r.file, r.complexity) for r in schema_drift.consistent_locations(files).collect()} == {"a": ("new", 9), "b": (None, 1)}
+        assert [(r.name, r.full) for r in schema_drift.consistent_specs(files).collect()] == [("b", "b")]
+
+
+def test_values_that_cannot_be_cast(spark):
+    """No number ends the job or is lost: what cannot be cast is reported, and its field has the default."""
+    raw = '{"function_locations": {"Elixir.M": {"a": {"name": "a", "arity": 99999999999999999999, "line": "x", "complexity": %s, "loc_cc": 5, "file": [1, null, "é"]}}}}'
+    bad = ["1e999", "Infinity", "NaN", '"abc"', "99999999999999999999", '"1e400"', '{"value": null}', '{"value": [1]}', "[1]", "true", "1" + "0" * 400]
+    good = {'"7"': 7, '"7.9"': 7, "-7.9": -7, '{"value": "8"}': 8, '{"value": 8.5}': 8, str(2**63 - 1): 2**63 - 1, '" 3 "': 3}
+    files = _files(spark, [_file(i, "p", 1, raw % v) for i, v in enumerate([*bad, *good])])
+    got = {r.file_no: r for r in schema_drift.consistent_locations(files).collect()}
+    assert len(got) == len(bad) + len(good)
+    for i, v in enumerate([*bad, *good]):
+        r = got[i]
+        assert (r.module, r.file, r.extra, r.arity, r.line) == ("M", "1/é", '{"loc_cc":5}', None, None)
+        assert r.complexity == good.get(v, 1) and (r.uncast is None) == (v in good), v
+    assert [(r.key, r.n_files, r.n_records) for r in schema_drift.unlisted_keys(files).collect()] == [("loc_cc", len(got), len(got))]
+    assert schema_drift.schema_changes(files).count() >= 0
+    # an older key beside a newer one is kept, and a record of its own kind goes through a chain of its own
+    mixed = _locations(file="new", src="old", cc="4") | {"function_locations": {"M": {"a": {"name": "a", "file": "new", "src": "old"}, "b": {"name": "b", "cc": {"value": "4"}, "path": ["x", "y"]}, "c": {"name": "c", "file": None, "src": None, "sourceFile": "z"}}}}
+    got = {r.name: (r.file, r.complexity, r.extra) for r in schema_drift.consistent_locations(_files(spark, [_file(1, "p", 1, mixed)])).collect()}
+    assert got == {"a": ("new", 1, '{"src":"old"}'), "b": ("x/y", 4, None), "c": ("z", 1, None)}
 
 
 def test_drift_table_against_brute_force(spark):
@@ -287,13 +320,33 @@ def test_nested(spark):
     for found in got.values():
         assert sorted(found, key=repr) == want
     # equal subtrees are stored once, every occurrence has a bridge row, and a parent is a row of its graph
-    o, b = nested.objects(df).collect(), nested.bridge(df).collect()
+    o, b = (x.collect() for x in nested.store(df))
     assert sum(x.n_occurrences for x in o) == len(b) and len({x.node_hash for x in o}) == len(o) < len(b)
     at = {(x.graph_id, x.occ_no): x for x in b}
     for x in b:
         assert x.parent_no == -1 or at[x.graph_id, x.parent_no].node_hash == x.parent_hash
     assert {x.parent_kind for x in nested.flat_table(df, "input").collect()} == {"clause"}
-    assert nested.record_places(df.limit(0)).count() == 0
+    assert nested.record_places(df.limit(0)).count() == 0 and nested.bridge_table(df.limit(0)).count() == 0
+
+
+def test_identity_is_that_of_the_subtree(spark):
+    """Equal subtrees have one identity wherever they stand, and subtrees that differ anywhere have two."""
+    f = {"name": "f", "arity": 1, "clauses": [{"full": "x", "input_strings": ["a", "b"], "return_strings": ["c"]}]}
+    g = {"name": "g", "arity": 0}
+    turned = {"clauses": [{"return_strings": ["c"], "full": "x", "input_strings": ["a", "b"]}], "arity": 1, "name": "f"}
+    bodies = [{"specs": {"M": [f, g, f], "N": [g, turned]}}, {"specs": {"K": [None, None, f]}}]
+    digests = {n.digest for b in bodies for n in nested.tree(b).children if n.place[1] == "f/1"}
+    assert len(digests) == 1
+    swapped = [{**f, "clauses": [{**f["clauses"][0], **c}]} for c in ({"input_strings": ["b", "a"]}, {"input_strings": ["a"]}, {"input_strings": ["a", "b", "c"], "return_strings": []}, {"full": "y"}, {"input_strings": ["a", None, "b"]})]
+    swapped += [{**f, "clauses": f["clauses"] * 2}, {**f, "clauses": [None, *f["clauses"]]}, {**f, "name": "h"}]
+    others = {n.digest for s in swapped for n in nested.tree({"specs": {"M": [s]}}).children}
+    assert len(others) == len(swapped) and not others & digests
+    assert nested.tree({"specs": {"M": [f], "N": [g]}}).digest == nested.tree({"specs": {"N": [g], "M": [f]}}).digest != nested.tree({"specs": {"M": [g], "N": [f]}}).digest
+    # one object for the three in the table, half surrogates and very deep bodies included
+    df = _graphs(spark, [*enumerate(map(json.dumps, bodies)), (7, '{"specs": {"M": [{"name": "\\ud800"}]}}'), (8, "[" * 100_000)])
+    o, b = nested.store(df)
+    assert [r.n_occurrences for r in o.where("record_kind = 'spec' and content like '%\"f\"%'").collect()] == [4]
+    assert {r.graph_id for r in b.collect()} == {0, 1, 7}
 
 
 # 4: hot keys
