@@ -6,10 +6,13 @@ import random
 import unicodedata
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import best_fit
 from callscape.llm import canonical, leaks, packing, text_queries
+from compare import rows_of
 from conftest import rows
 
 DATA = "/root/testdata/sf0.001"
@@ -74,23 +77,73 @@ def test_packing_of_the_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
     kinds = {r.kind: r.capacity_tokens for r in spark.read.parquet(f"{DATA}/container_kinds.parquet").collect()}
     _check(text_queries.p7_containers(spark, DATA).collect(), docs, kinds)
-    for r in text_queries.p7_fill(spark, DATA).collect():
+    for r in text_queries.p7_containers_used(spark, DATA).collect():
         assert r.fullest <= kinds[r.kind] and r.n_containers <= r.least_containers * 1.05 + 1
 
 
-def test_plan_places_every_item_once():
+def _swept(items, gaps, ranges, cap):
+    """The moves (size, gap) of one round over ranges: every range swept for itself, then the transfers."""
+    runs = [("item", v, 0, n, 0) for v, n in items.items()] + [("gap", v, 100 * v, n, 0) for v, n in gaps.items()]
+    left, moves = [], Counter()
+    for part in range(ranges):
+        out = packing.sweep([r for r in runs if r[1] * ranges // (cap + 1) == part])
+        gap_of = {box + i: v for tag, v, box, n, _ in runs if tag == "gap" for i in range(n)}
+        moves.update((v, gap_of[at + i]) for tag, v, _, n, at in out if tag == "move" for i in range(n))
+        left.append((part, out))
+    stretches, moved = packing.carry([(p, *(sum(r[3] for r in out if r[0] == t) for t in ("item", "gap"))) for p, out in left])
+    pairs = defaultdict(lambda: {"item": [], "gap": []})
+    for tag, part, lo, hi, number in stretches:
+        for t, v, start, n, at in dict(left)[part]:
+            if t == tag and at < hi and at + n > lo and number >= 0:
+                a, z = max(at, lo), min(at + n, hi)
+                pairs[number][tag].append((a - lo, v, start + a - at, z - a))
+    for p in pairs.values():
+        done = packing.transfer(p["item"], p["gap"])
+        moves.update((v, gap_of[at + i]) for tag, v, _, n, at in done if tag == "move" for i in range(n))
+        moved -= sum(n for tag, *_, n, _ in done if tag == "move")
+    assert moved == 0
+    return moves
+
+
+def test_sweep_of_ranges_is_the_sweep_of_all():
+    """However the values are cut into ranges, each gap takes what one sweep over all of them gives it."""
+    r = random.Random(6)
+    for _ in range(300):
+        cap = r.choice([10, 60])
+        items, gaps = ({r.randint(1, cap): r.randint(1, 5) for _ in range(r.randint(0, 9))} for _ in range(2))
+        want, stack = Counter(), []
+        for v, gap in sorted([(v, 0) for v in items] + [(v, 1) for v in gaps]):
+            if not gap:
+                stack += [v] * items[v]
+            else:
+                want.update((stack.pop(), v) for _ in range(min(gaps[v], len(stack))))
+        for ranges in (1, 2, 7):
+            assert _swept(items, gaps, ranges, cap) == want
+
+
+def test_packing_beside_best_fit_on_one_machine(spark):
+    """No more containers than best fit over counts gives (and its moves place every item once)."""
     r = random.Random(2)
     for _ in range(50):
         cap = r.choice([7, 64, 500])
         counts = {r.randint(1, cap): r.randint(1, 30) for _ in range(r.randint(1, 20))}
-        moves, opened = packing.plan(counts, cap)
-        ranks, fill = Counter(), Counter()
-        for size, rank, n, box in moves:
-            for i in range(n):
-                ranks[size, rank + i] += 1
-                fill[box + i] += size
-        assert ranks == Counter((s, i) for s, n in counts.items() for i in range(n))
+        moves, opened = best_fit.plan(counts, cap)
+        fill = Counter()
+        for size, _, n, box in moves:
+            fill.update({box + i: size for i in range(n)})
         assert max(fill.values()) <= cap and set(fill) == set(range(opened))
+    for row in text_queries.p7_containers_used(spark, DATA).collect():
+        counts = Counter(x.size for x in packing.pieces(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/container_kinds.parquet")).where(F.col("kind") == row.kind).select("size").collect())
+        cap = {x.kind: x.capacity_tokens for x in spark.read.parquet(f"{DATA}/container_kinds.parquet").collect()}[row.kind]
+        assert row.n_containers <= best_fit.plan(counts, cap)[1] + 1
+
+
+def test_audit(spark):
+    kinds = spark.createDataFrame([("s", 10)], "kind string, capacity_tokens long")
+    audit = lambda data: tuple(packing.audit(spark.createDataFrame(data, "kind string, doc_id long, part_no long, text_offset long, n_tokens long, container_id long"), kinds).first())[1:]
+    assert audit([("s", 1, 0, 0, 10, 0), ("s", 1, 1, 10, 3, 1), ("s", 2, 0, 0, 7, 1)]) == (2, 3, 20, 2, 0, 0, True)
+    assert audit([("s", 1, 0, 0, 5, 0), ("s", 1, 1, 5, 3, 1), ("s", 2, 0, 0, 8, 1)]) == (2, 3, 16, 2, 1, 1, True)
+    assert audit([("s", i, 0, 0, 1, i) for i in range(10)])[-1] is False
 
 
 # 8: leaks
@@ -237,6 +290,17 @@ def test_pairs_against_brute_force(spark):
     assert rows(text_queries.p9_found(spark, "/root/testdata/sf0.01")) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("name", sorted(text_queries.SQL))
+def test_query_beside_sql(spark, name):
+    db = duckdb.connect()
+    for t in ("documents", "container_kinds"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    found, df = db.execute(text_queries.SQL[name]), text_queries.QUERIES[name](spark, DATA)
+    columns = [d[0] for d in found.description]
+    assert sorted(df.columns) == sorted(columns)
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(columns, found.fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(text_queries.QUERIES))
 def test_queries_run(spark, name):
     assert text_queries.QUERIES[name](spark, DATA).columns
