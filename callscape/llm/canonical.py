@@ -22,19 +22,28 @@ from pyspark.sql import functions as F
 
 from callscape.functions.cluster import cut_lineage, spread
 
-#: Letters of other scripts that look like Latin ones, in natural order (fixed values).
+#: Letters of other scripts that look like Latin ones, in natural order (fixed values, after Unicode's table of confusable characters).
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХаеѕіјорсухһԛԝԁѵӏ", "ABESIJKMHOPCTXaesijopcyxhqwdvl", strict=True))
-GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνορ", "ABEZHIKMNOPTYXvop", strict=True))
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνορϲͿϹϳ", "ABEZHIKMNOPTYXvopcJCj", strict=True))
+ARMENIAN = dict(zip("ԼՍՏՕզհյոսցօ", "LUSOqhjnugo", strict=True))
+CHEROKEE = dict(zip("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏒᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHGZRVSLCPKB", strict=True))
 OTHER = dict(zip("ɑɡıʏԌ", "agiYG", strict=True))
-#: Latin letters and the Cyrillic ones that they stand for within a Cyrillic word.
-TO_CYRILLIC = {v: k for k, v in CYRILLIC.items() if k in "АВЕКМНОРСТХаеорсух"}
-_TO_LATIN = {**CYRILLIC, **GREEK, **OTHER}
+#: By script, Latin letters and those that they stand for within a word of that script.
+_SCRIPTS = {
+    "Cyrillic": {v: k for k, v in CYRILLIC.items()},
+    "Greek": {v: k for k, v in GREEK.items() if k not in "ϲϹ"},
+    "Armenian": {v: k for k, v in ARMENIAN.items()},
+    "Cherokee": {v: k for k, v in CHEROKEE.items()},
+}
+_TO_LATIN = {**CYRILLIC, **GREEK, **ARMENIAN, **CHEROKEE, **OTHER}
 #: Forms that differ from their letters only in width or in being joined.
 _FORMS = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>")
 
 
-def _ligature(c: str) -> bool:
-    return "LIGATURE" in unicodedata.name(c, "") and unicodedata.decomposition(c).startswith("<compat>")
+def _joined(c: str) -> bool:
+    """Letters in one character: ligatures, and the Roman numerals that are made of letters."""
+    name = unicodedata.name(c, "")
+    return ("LIGATURE" in name or "ROMAN NUMERAL" in name) and unicodedata.decomposition(c).startswith("<compat>")
 
 
 #: Characters without a mark of their own that the categories do not tell (fixed values).
@@ -57,7 +66,7 @@ def _tables() -> tuple[dict[int, str], frozenset[str]]:
             single[o] = " "
         elif kind in ("Cf", "Cc") or c in _INVISIBLE or 0xFE00 <= o <= 0xFE0F or 0xE0100 <= o <= 0xE01EF:
             single[o] = ""
-        elif unicodedata.decomposition(c).startswith(_FORMS) or _ligature(c):
+        elif unicodedata.decomposition(c).startswith(_FORMS) or _joined(c):
             single[o] = unicodedata.normalize("NFKC", c)
         elif unicodedata.combining(c) or not unicodedata.is_normalized("NFC", c):
             odd.append(c)
@@ -72,26 +81,26 @@ def _segments(unstable: frozenset[str]) -> re.Pattern:
 
 
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
-_ALONE = frozenset(chr(o) for o in range(0x400, 0x530)) | frozenset(_TO_LATIN)
-
-
-#: Letters that only Cyrillic has in this look; a word with one of them is a Cyrillic word.
-_ONLY_CYRILLIC = regex.compile(r"\p{Cyrillic}")
+#: Characters of scripts with letters that look like Latin ones; a word with one of them is looked at.
+_ALONE = frozenset(chr(o) for a, z in ((0x370, 0x590), (0x13A0, 0x1400), (0x1F00, 0x2000), (0xA640, 0xA6A0)) for o in range(a, z)) | frozenset(_TO_LATIN)
+_LATIN_MAP = {ord(k): v for k, v in _TO_LATIN.items()}
+_SCRIPT_MAPS = {script: {ord(k): v for k, v in twins.items()} for script, twins in _SCRIPTS.items()}
+_OF_SCRIPT = {script: regex.compile(rf"\p{{{script}}}") for script in _SCRIPTS}
 
 
 @lru_cache(maxsize=65536)
 def _word(word: str) -> str:
-    """A word with its look-alike letters in one script: Cyrillic if some letter can only be Cyrillic, else Latin."""
-    apart = unicodedata.normalize("NFD", word)
-    latin = apart.translate(_LATIN_MAP)
-    if not _ONLY_CYRILLIC.search(latin):
-        return unicodedata.normalize("NFC", latin)
-    # i with breve and the like: the marks stay where they are and compose again
-    return unicodedata.normalize("NFC", latin.translate(_CYRILLIC_MAP))
+    """A word with its look-alike letters in one script.
 
-
-_LATIN_MAP = {ord(k): v for k, v in _TO_LATIN.items()}
-_CYRILLIC_MAP = {ord(k): v for k, v in TO_CYRILLIC.items()}
+    Letters with a Latin twin are Latin first. What is left of other scripts decides: the word is of the script that most
+    of it belongs to (of equally many, the first of _SCRIPTS), and its Latin letters with a twin there become that
+    one; with nothing left it is Latin.
+    """
+    latin = unicodedata.normalize("NFD", word).translate(_LATIN_MAP)
+    left = {script: len(letters.findall(latin)) for script, letters in _OF_SCRIPT.items()}
+    script = max(left, key=left.__getitem__)
+    # i with breve and the like: the marks stay where they are and compose again
+    return unicodedata.normalize("NFC", latin.translate(_SCRIPT_MAPS[script]) if left[script] else latin)
 
 
 def canonical(text: str | None) -> str | None:

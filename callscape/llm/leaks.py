@@ -25,14 +25,16 @@ from pyspark.sql import functions as F
 from callscape.functions.cluster import spread
 from callscape.llm.canonical import CYRILLIC, GREEK, OTHER
 
-#: Letters in a pattern, of these at least so many on each side of the boundary; words hit that make a candidate.
-SEED, SIDE, LEAST_BOUNDARIES = 12, 2, 3
+#: Letters in a pattern, of these at least so many on each side of the boundary. Every hit is aligned, be it the only one.
+SEED, SIDE = 12, 2
 #: Consecutive words that make a leak.
 WORDS = 16
-#: Cells (lines of a column) of an advert inside an article that a walk looks beyond by itself; longer ones need a hit on either side.
-ADVERT_CELLS = 14
-#: Passages whose automaton a worker may hold; more are scanned in further passes.
-PASSAGES = 20_000
+#: Letters by which a passage that stops at a line's end is found again at a later line's start: among the next NEAR_LINES lines a few, beyond them a whole pattern.
+NEAR, NEAR_LINES = 6, 14
+#: Columns begin so many pixels apart at least; a line set in by so many from its column's edge belongs to an advert; gaps of a line that are so many characters apart are one column's.
+COLUMN_APART, SET_IN, GAP_APART = 250, 25, 8
+#: Letters of passages whose automaton a worker may hold (about 11 nodes and 450 bytes each); more are scanned in further passes.
+LETTERS = 500_000
 
 #: Signs that are read one for the other, by the one that stands for both (fixed values).
 _MISREAD = dict(zip("01i|5cbu", "olllsehn", strict=True))
@@ -72,14 +74,14 @@ def cells(text: str, x: Sequence[int], y: Sequence[int]) -> list[tuple[int, int]
         return [(a, a + len(s)) for a, s in lines]
     edges = []
     for v in sorted(set(x[:n])):
-        if not edges or v - edges[-1] > 250:
+        if not edges or v - edges[-1] > COLUMN_APART:
             edges.append(v)
     found = []
     if "   " in text and len(edges) == 1:
         gaps = [m.end() for _, s in lines for m in _GAP.finditer(s.rstrip())]
         cuts: list[int] = []
         for g in sorted(gaps):
-            if not cuts or g - cuts[-1] > 8:
+            if not cuts or g - cuts[-1] > GAP_APART:
                 cuts.append(g)
         for k, (a, s) in enumerate(lines):
             start = 0
@@ -91,7 +93,7 @@ def cells(text: str, x: Sequence[int], y: Sequence[int]) -> list[tuple[int, int]
     else:
         for k, (a, s) in enumerate(lines):
             col = bisect_right(edges, x[k]) - 1
-            found.append((col, x[k] - edges[col] >= 25, y[k], k, a, a + len(s)))
+            found.append((col, x[k] - edges[col] >= SET_IN, y[k], k, a, a + len(s)))
         found.sort(key=lambda c: (c[1], c[0], c[2], c[3]))
     return [(c[4], c[5]) for c in found]
 
@@ -150,13 +152,33 @@ def _close_misreads(p_text: str, d_text: str, p: int, d: int) -> list[int]:
     return [p + b for b in bad] if bad[-1] == len(p_text) - p - 1 else []
 
 
-def _walk(p_text: str, d_text: str, p: int, d: int, limits: list[int]) -> tuple[int, int, list[int]]:
+class _Lines:
+    """A stream with the starts of its lines, and these by the letters that follow."""
+
+    def __init__(self, text: str, starts: list[int]) -> None:
+        self.text, self.starts, self._by = text, starts, {}
+
+    def later(self, letters: str, after: int) -> int | None:
+        """The first line start beyond `after` that these letters follow."""
+        n = len(letters)
+        if n not in self._by:
+            by: dict[str, list[int]] = {}
+            for s in self.starts:
+                by.setdefault(self.text[s : s + n], []).append(s)
+            self._by[n] = by
+        found = self._by[n].get(letters, ())
+        at = bisect_right(found, after)
+        return found[at] if at < len(found) else None
+
+
+def _walk(p_text: str, lines: _Lines, p: int, d: int) -> tuple[int, int, list[int]]:
     """How far passage and stream go on together from (p, d), and where the passage is misread.
 
     A misread place has up to two letters on either side and three equal letters after it; single misread letters may
-    follow each other more closely. At the end of a line, the
-    lines of an advert may be left out; limits are the starts of lines in d_text.
+    follow each other more closely. At the end of a line any number of lines may be left out, if the passage goes on
+    at the start of a later one.
     """
+    d_text, limits = lines.text, lines.starts
     bad: list[int] = []
     n, m = len(p_text), len(d_text)
     while p < n and d < m:
@@ -175,15 +197,16 @@ def _walk(p_text: str, d_text: str, p: int, d: int, limits: list[int]) -> tuple[
         # a line ends here: what follows may be an advert's lines, after which the article goes on
         at = bisect_left(limits, d - 2)
         if at < len(limits) and limits[at] <= d + 1 and tail > 3:
-            want = p_text[p : p + 6]
-            jump = None
+            near = limits[min(at + NEAR_LINES, len(limits)) - 1]
             for back in (0, -1, 1, -2):
-                want = p_text[p + back : p + back + 6]
-                jump = next((s for s in limits[at : at + ADVERT_CELLS] if s > d - 3 and want and d_text.startswith(want, s)), None)
+                begin = max(0, p + back)
+                jump = lines.later(p_text[begin : begin + NEAR], d - 3) if begin < n else None
+                if jump is not None and jump > near:
+                    jump = lines.later(p_text[begin : begin + SEED], d - 3) if n - begin >= SEED else None
                 if jump is not None:
                     # prefer reading on in the same line if that reads as well
                     if step is None or jump - d < 3:
-                        p, d = p + back, jump
+                        p, d = begin, jump
                         step = (0, 0)
                     break
         if step is None:
@@ -198,20 +221,19 @@ def _walk(p_text: str, d_text: str, p: int, d: int, limits: list[int]) -> tuple[
     return p, d, bad
 
 
-def longest_run(passages: _Passages, k: int, stream: str, hits: list[tuple[int, int]], limits: list[int]) -> tuple[int, int]:
-    """The most consecutive words of passage k that the stream holds, and where in the stream they are anchored."""
-    text, starts = passages.texts[k], passages.starts[k]
-    back_text, back_stream = text[::-1], stream[::-1]
-    back_limits = sorted(len(stream) - s for s in limits)
+def longest_run(passages: _Passages, k: int, hits: list[tuple[int, int]], lines: _Lines, back: _Lines) -> tuple[int, int]:
+    """The most consecutive words of passage k that the stream of lines holds, and where in it they are anchored; back is the stream read backwards."""
+    text, starts, limits = passages.texts[k], passages.starts[k], lines.starts
+    back_text, size_of_stream = text[::-1], len(lines.text)
     # the stretches of the passage that walks along a diagonal covered; beyond them a hit begins a walk of its own
     done: dict[int, list[tuple[int, int]]] = {}
     runs: list[_Run] = []
     for p, d in hits:
         if any(a <= p < b for a, b in done.get(p - d, ())):
             continue
-        end, d_end, bad = _walk(text, stream, p, d, limits)
-        begin, d_begin, bad_back = _walk(back_text, back_stream, len(text) - p, len(stream) - d, back_limits)
-        begin, d_begin = len(text) - begin, len(stream) - d_begin
+        end, d_end, bad = _walk(text, lines, p, d)
+        begin, d_begin, bad_back = _walk(back_text, back, len(text) - p, size_of_stream - d)
+        begin, d_begin = len(text) - begin, size_of_stream - d_begin
         for near in range(p - d - 1, p - d + 2):
             done.setdefault(near, []).append((begin, end))
         runs.append(_Run(begin, end, d_begin, d_end, d, [*bad, *(len(text) - 1 - b for b in bad_back)]))
@@ -279,17 +301,14 @@ def scan_text(passages: _Passages, text: str, x: Sequence[int], y: Sequence[int]
         for k, p in places:
             hits.setdefault(k, []).append((p, end - SEED + 1))
     out = []
-    limits: list[int] = []
-    for k, at in hits.items():
-        starts = passages.starts[k]
-        if len(at) < LEAST_BOUNDARIES or len({bisect_right(starts, p + SIDE) for p, _ in at}) < LEAST_BOUNDARIES:
-            continue
-        if not limits:
-            limits = np.cumsum([0, *map(len, folded.split("\n"))])[:-1].tolist()
-        run, where = longest_run(passages, k, stream, at, limits)
-        if run >= words:
-            cell = bisect_right(limits, where) - 1
-            out.append((k, run, _original(text, *order[cell], where - limits[cell])))
+    if hits:
+        limits = np.cumsum([0, *map(len, folded.split("\n"))])[:-1].tolist()
+        lines, back = _Lines(stream, limits), _Lines(stream[::-1], sorted(len(stream) - s for s in limits))
+        for k, at in hits.items():
+            run, where = longest_run(passages, k, at, lines, back)
+            if run >= words:
+                cell = bisect_right(limits, where) - 1
+                out.append((k, run, _original(text, *order[cell], where - limits[cell])))
     return out
 
 
@@ -308,16 +327,15 @@ def _built(items: tuple[tuple[int, str], ...]) -> _Passages:
     return _Passages(items)
 
 
-def leaks(docs: DataFrame, items: DataFrame, words: int = WORDS, passages: int = PASSAGES) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, words: int = WORDS, letters_held: int = LETTERS) -> DataFrame:
     """(doc_id, item_id, n_words, text_offset): documents with at least `words` consecutive words of a passage.
 
-    items are a fixed evaluation set. At most `passages` of them (counted) are held by a worker in one automaton;
-    a larger set is cut into such parts by item_id, and the documents are scanned once for each. Null or empty texts and
+    items are a fixed evaluation set. A worker holds the automaton of about letters_held letters of passages (counted) and
+    no more; a larger set is cut into such parts by item_id, and the documents are scanned once for each. Null or empty texts and
     passages of fewer words leak nothing; repeated rows of a document give one row. n_words is the longest run.
     """
     rows = items.select(F.col("item_id").cast("bigint").alias("item_id"), "passage").where("item_id is not null and passage is not null").distinct()
-    total = rows.count()
-    parts = max(1, -(-total // passages))
+    parts = max(1, -(-(rows.agg(F.sum(F.length("passage"))).first()[0] or 0) // letters_held))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(F.col("page_lines.x0"), F.array().cast("array<int>")).alias("x"), F.coalesce(F.col("page_lines.y0"), F.array().cast("array<int>")).alias("y"))
     docs = spread(docs.where("doc_id is not null and length(text) > 0"), "doc_id")
     found = None

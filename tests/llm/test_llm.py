@@ -186,7 +186,7 @@ def test_leaks(spark):
     assert {d for d, _ in got} == {0, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 17} and {i for _, i in got} == {1}
     assert got[0, 1][0] == 16 and got[5, 1][0] == len(w) and got[6, 1][0] == 24 and got[8, 1][0] == 24
     assert got[4, 1][1] > 300_000 and texts[0][0][got[0, 1][1] :].split()[0].strip() in _PASSAGE
-    parts = {(r.doc_id, r.item_id) for r in leaks.leaks(_docs(spark, texts), items, passages=1).collect()}
+    parts = {(r.doc_id, r.item_id) for r in leaks.leaks(_docs(spark, texts), items, letters_held=50).collect()}
     assert parts == set(got)
     assert leaks.leaks(_docs(spark, texts), items.limit(0)).count() == 0
     assert leaks.leaks(_docs(spark, texts).limit(0), items).count() == 0
