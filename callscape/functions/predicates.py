@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,18 +13,21 @@ class InvalidPattern(ValueError):
 
 
 #: Look-around, back references, atomic groups and possessive quantifiers have no linear-time form and are refused.
-_UNSUPPORTED = re.compile(r"\(\?(?:[=!>]|<[=!])|\\[1-9]|\\k<|(?<!\\)[*+?}]\+")
+_UNSUPPORTED = re.compile(r"\(\?(?:[=!>]|<[=!])|\\[1-9]|\\k<|(?<!\\)[*+?]\+|[0-9,]}\+")
 
 
 def validate(*patterns: str | None, regex: bool) -> None:
-    """Raise InvalidPattern for the first bad pattern; without regex, and for None, anything goes."""
+    """Raise InvalidPattern for the first bad pattern; without regex, and for None, anything goes.
+
+    A pattern is good if the engine that will run it, Java's, takes it.
+    """
     for p in patterns if regex else ():
         if p is None:
             continue
         try:
-            re.compile(p)
-        except re.error as e:
-            raise InvalidPattern(f"Invalid regex pattern '{p}': {e}") from None
+            SparkSession.active()._jvm.java.util.regex.Pattern.compile(p)
+        except Exception as e:
+            raise InvalidPattern(f"Invalid regex pattern '{p}': {str(getattr(e, 'java_exception', e)).splitlines()[0]}") from None
         if m := _UNSUPPORTED.search(p):
             raise InvalidPattern(f"Invalid regex pattern '{p}': {m[0]} is not supported")
 

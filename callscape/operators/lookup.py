@@ -5,7 +5,7 @@ Patterns are exact unless regex is set; project None looks in all projects; limi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscape.functions.predicates import by_hand, equals, in_project, matches, ordered, validate
@@ -112,31 +112,46 @@ def find_large_functions(g: Graph, min_lines: int = 50, module: str | None = Non
     return ordered(df.select(*cols).distinct(), ["-lines", "module", "name"], limit)
 
 
+#: Columns of browse_module beside project, module, type, name, arity, line and kind, with their types.
+_BROWSED = {
+    "file": "string", "start_line": "bigint", "end_line": "bigint", "pattern": "string", "guard": "string", "args": "string", "return_type": "string",
+    "inputs": "string", "returns": "string", "full": "string", "params": "string", "definition": "string", "fields": "array<struct<field: string, default_value: string, required: boolean, inferred_type: string>>",
+}
+
+
 def browse_module(g: Graph, module: str | None, kind: str | None = None, name: str | None = None, project: str | None = None, regex: bool = False, limit: int | None = LIMIT) -> DataFrame:
     """Functions, specs, types and structs of a module as one tagged table, by module and line.
 
-    Each category is looked up with the limit, then all together are cut to it. The name is a part of a function's or
-    struct's name, but a pattern as elsewhere for specs and types. A struct has line 0, and its fields come one
-    a row.
+    type is function, spec, type or struct; columns that a type does not have are null. A function has its clause's
+    lines, pattern and guard, and the arguments and return type of its spec if it has one. Each category is looked
+    up with the limit (structs by fields, before these are grouped), then all together are cut to it. The name is a part
+    of a function's or struct's name, but a pattern as elsewhere for specs and types. A struct has line 0 and its
+    fields in their order by name.
     """
-    null = lambda t: F.lit(None).cast(t)
-    shape = lambda df, tag, arity, line, label, detail: df.select(
-        "project", "module", F.lit(tag).alias("type"), "name", arity.cast("bigint").alias("arity"), line.cast("bigint").alias("line"), label.alias("kind"), detail.alias("detail")
-    )
+
+    def shape(df: DataFrame, tag: str, **more: Column) -> DataFrame:
+        head = [F.col("project"), F.col("module"), F.lit(tag).alias("type"), F.col("name"), *[more.get(c, F.lit(None)).cast(t).alias(c) for c, t in (("arity", "bigint"), ("line", "bigint"), ("kind", "string"))]]
+        return df.select(*head, *[more.get(c, F.lit(None)).cast(t).alias(c) for c, t in _BROWSED.items()])
+
+    def cols(df: DataFrame, *names: str) -> dict[str, Column]:
+        return {n: df[n] for n in names}
+
     part = lambda df: df if name is None else df.where(F.col("name").contains(F.lit(name)))
     found = []
     if kind in (None, "functions"):
         f = part(find_functions_in_module(g, module, project, regex, limit))
-        found.append(shape(f, "function", F.col("arity"), F.col("line"), F.col("kind"), F.col("file")))
+        f = f.join(g.functions.select("project", "module", "name", "arity", "args", "return_type"), ["project", "module", "name", "arity"], "left")
+        found.append(shape(f, "function", **cols(f, "arity", "line", "kind", "file", "start_line", "end_line", "pattern", "guard", "args", "return_type")))
     if kind in (None, "specs"):
         f = find_specs(g, module, name, None, project, regex, limit)
-        found.append(shape(f, "spec", F.col("arity"), F.col("line"), F.col("kind"), F.col("full")))
+        found.append(shape(f, "spec", inputs=f["inputs_string"], returns=f["return_string"], **cols(f, "arity", "line", "kind", "full")))
     if kind in (None, "types"):
         f = find_types(g, module, name, None, project, regex, limit)
-        found.append(shape(f, "type", null("bigint"), F.col("line"), F.col("kind"), F.col("definition")))
+        found.append(shape(f, "type", **cols(f, "line", "kind", "params", "definition")))
     if kind in (None, "structs"):
-        f = part(find_struct_fields(g, module, project, regex, limit).withColumn("name", F.col("module")))
-        found.append(shape(f, "struct", null("bigint"), F.lit(0), null("string"), F.col("field")))
+        f = group_fields(find_struct_fields(g, module, project, regex, limit)).withColumn("name", F.col("module"))
+        f = part(f)
+        found.append(shape(f, "struct", line=F.lit(0), fields=f["fields"]))
     if not found:
         raise ValueError(f"no such kind: {kind}")
     out = found[0]

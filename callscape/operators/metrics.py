@@ -124,6 +124,15 @@ def duplicate_groups(found: DataFrame) -> DataFrame:
     return found.groupBy("project", "hash").agg(F.count(F.lit(1)).alias("n_functions"))
 
 
+def duplicate_members(found: DataFrame) -> DataFrame:
+    """(project, hash, n_functions, functions): the groups with their clauses as structs, by module, name, arity and line.
+
+    A group is a list, so this is for results that are shown; duplicates() itself has a row per clause.
+    """
+    one = F.struct("module", "name", "arity", "line", "file")
+    return found.groupBy("project", "hash").agg(F.count(F.lit(1)).alias("n_functions"), F.array_sort(F.collect_list(one)).alias("functions"))
+
+
 def namespace(module: str, depth: int) -> Column:
     """The first `depth` segments of a module's name."""
     return F.array_join(F.slice(F.split(module, "[.]"), 1, depth), ".")

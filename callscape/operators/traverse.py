@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from callscape.functions.cluster import cut_lineage
+from callscape.functions.cluster import cut_lineage, let_go
 from callscape.functions.predicates import equals, in_project, matches, ordered, validate
 from callscape.operators.calls import module_calls, resolved_calls
 from callscape.operators.lookup import LIMIT
@@ -66,10 +66,14 @@ def reverse_trace_calls(g: Graph, module: str | None, function: str | None, arit
     return ordered(rows.select("project", "depth", *_TRACE).distinct(), _ORDER, limit)
 
 
+def _untold() -> list[Column]:
+    return [F.lit("").alias("kind"), F.lit(0).cast("bigint").alias("start_line"), F.lit(0).cast("bigint").alias("end_line"), F.lit("").alias("file")]
+
+
 def trace_entries(rows: DataFrame, module: str, function: str, max_depth: int = TRACE_DEPTH) -> DataFrame:
-    """A trace as a list of entries (entry_index, module, function, arity, depth, line, parent_index).
+    """A trace as a list of entries (entry_index, module, function, arity, kind, start_line, end_line, file, depth, line, parent_index).
 
-    Entry 0 is the start, with arity 0 and depth 0; depth-1 entries are its children. Of the rows of one callee at a
+    A callee's kind, lines and file are empty, as a call tells nothing of its definition. Entry 0 is the start, with arity 0 and depth 0; depth-1 entries are its children. Of the rows of one callee at a
     depth the first in order counts whose caller is an entry of the depth before; rows without one are left out. No rows
     give no entries. rows come from trace_calls() with its limit, which bounds them.
     """
@@ -90,8 +94,8 @@ def trace_entries(rows: DataFrame, module: str, function: str, max_depth: int =
     flat = flat.withColumn("entry_index", F.row_number().over(Window.orderBy("depth", *order)).cast("bigint"))
     up = flat.select(F.col("depth").alias("_d"), *[F.col(k).alias(f"_{k}") for k in key], F.col("entry_index").alias("parent_index"))
     has = (F.col("_d") == F.col("depth") - 1) & (F.col("_callee_module") == F.col("caller_module")) & (F.col("_callee_function") == F.col("caller_name")) & (F.col("_callee_arity") == F.col("caller_arity"))
-    out = flat.join(up, has, "left").select("entry_index", F.col("callee_module").alias("module"), F.col("callee_function").alias("function"), F.col("callee_arity").alias("arity"), "depth", F.col("call_line").alias("line"), F.when(F.col("depth") == 1, F.lit(0)).otherwise(F.col("parent_index")).cast("bigint").alias("parent_index"))
-    root = flat.limit(1).select(F.lit(0).cast("bigint").alias("entry_index"), F.lit(module).alias("module"), F.lit(function).alias("function"), F.lit(0).cast("bigint").alias("arity"), F.lit(0).cast("bigint").alias("depth"), F.lit(0).cast("bigint").alias("line"), F.lit(None).cast("bigint").alias("parent_index"))
+    out = flat.join(up, has, "left").select("entry_index", F.col("callee_module").alias("module"), F.col("callee_function").alias("function"), F.col("callee_arity").alias("arity"), *_untold(), "depth", F.col("call_line").alias("line"), F.when(F.col("depth") == 1, F.lit(0)).otherwise(F.col("parent_index")).cast("bigint").alias("parent_index"))
+    root = flat.limit(1).select(F.lit(0).cast("bigint").alias("entry_index"), F.lit(module).alias("module"), F.lit(function).alias("function"), F.lit(0).cast("bigint").alias("arity"), *_untold(), F.lit(0).cast("bigint").alias("depth"), F.lit(0).cast("bigint").alias("line"), F.lit(None).cast("bigint").alias("parent_index"))
     return root.unionByName(out)
 
 
@@ -132,8 +136,12 @@ def find_paths(g: Graph, from_module: str | None, from_function: str | None, to_
     first = first.where(equals("caller_module", from_module) & begins)
     ends = equals("callee_module", to_module) & equals("callee_function", to_function) & equals("callee_arity", to_arity)
     # what leads to the target in so many calls, from the target backwards
-    useful = [edges.where(ends)]
+    useful, rows = [edges.where(ends)], -1
     for _ in range(max_depth - 1):
+        if rows == (now := useful[-1].count()):
+            useful += [useful[-1]] * (max_depth - len(useful))
+            break
+        rows = now
         heads = cut_lineage(useful[-1].select("project", F.col("caller_module").alias("m"), F.col("caller_function").alias("c")).distinct())
         back = edges.alias("e").join(heads.alias("h"), (F.col("e.project") == F.col("h.project")) & (F.col("callee_module") == F.col("m")) & F.startswith(F.col("c"), F.col("callee_function")), "left_semi")
         useful.append(cut_lineage(back.unionByName(edges.where(ends)).distinct()))
@@ -159,21 +167,61 @@ def find_paths(g: Graph, from_module: str | None, from_function: str | None, to_
 
 
 def reachable(g: Graph, project: str | None = None, module: str | None = None) -> DataFrame:
-    """(project, a, b): the transitive closure of calls between different modules, semi-naively.
+    """(project, a, b): the transitive closure of calls between different modules, by doubling.
 
-    module keeps only edges of which either end contains it. Each round joins the pairs found last to the edges and
-    keeps what is new; the pairs so far are only read for that.
+    module keeps only edges of which either end contains it. Each round joins the pairs found so far to themselves, so
+    that the length of the paths they stand for doubles, until none is new.
     """
-    return _closure(cut_lineage(_module_edges(g, project, module)))
+    known, pairs = cut_lineage(_module_edges(g, project, module)), -1
+    while (now := known.count()) != pairs:
+        pairs, before = now, known
+        step = known.alias("f").join(known.alias("e"), (F.col("f.project") == F.col("e.project")) & (F.col("f.b") == F.col("e.a"))).select("f.project", "f.a", "e.b")
+        known = cut_lineage(known.unionByName(step).distinct())
+        let_go(before)
+    return known
 
 
-def _closure(edges: DataFrame) -> DataFrame:
-    known, fresh = edges, edges
-    while not fresh.isEmpty():
-        step = fresh.alias("f").join(edges.alias("e"), (F.col("f.project") == F.col("e.project")) & (F.col("f.b") == F.col("e.a"))).select("f.project", "f.a", "e.b").distinct()
-        fresh = cut_lineage(step.join(known, ["project", "a", "b"], "left_anti"))
-        known = known.unionByName(fresh)
-    return known
+def components(edges: DataFrame) -> DataFrame:
+    """(project, node, component): nodes on cycles of edges (project, a, b), a <> b, by the greatest node of their strong component.
+
+    Nodes without an edge on either side are trimmed. Then each node takes the greatest node that leads to it as its
+    colour, and those of a colour from which that node is reached back are its component; what is left goes round again.
+    """
+    on = lambda *k: [F.col(f"x.{c}") == F.col(f"y.{c}") for c in k]
+    left, found = cut_lineage(edges.select("project", "a", "b")), None
+    while True:
+        rows, before = -1, left.count()
+        while rows != before:
+            rows = before
+            inner = left.select("project", F.col("a").alias("node")).intersect(left.select("project", F.col("b").alias("node")))
+            trimmed = cut_lineage(left.join(inner.withColumnRenamed("node", "a"), ["project", "a"], "left_semi").join(inner.withColumnRenamed("node", "b"), ["project", "b"], "left_semi").select("project", "a", "b"))
+            let_go(left)
+            left = trimmed
+            before = left.count()
+        if not before:
+            break
+        colours = cut_lineage(left.select("project", F.col("a").alias("node"), F.col("a").alias("colour")).distinct())
+        while True:
+            sent = left.alias("x").join(colours.withColumnRenamed("node", "a").alias("y"), on("project", "a")).groupBy("x.project", F.col("x.b").alias("node")).agg(F.max("y.colour").alias("sent"))
+            grown = cut_lineage(colours.join(sent, ["project", "node"], "left").select("project", "node", F.greatest("colour", F.coalesce("sent", "colour")).alias("colour"), F.coalesce(F.col("sent") > F.col("colour"), F.lit(False)).alias("new")))
+            let_go(colours)
+            colours = grown
+            if not colours.where("new").limit(1).count():
+                break
+        tint = lambda c: colours.select("project", F.col("node").alias(c), F.col("colour").alias(f"{c}_colour"))
+        same = cut_lineage(left.join(tint("a"), ["project", "a"]).join(tint("b"), ["project", "b"]).where("a_colour = b_colour").select("project", "a", "b", F.col("a_colour").alias("colour")))
+        members = fresh = cut_lineage(colours.where("node = colour").select("project", "node", "colour"))
+        while fresh.limit(1).count():
+            step = same.alias("x").join(fresh.withColumnRenamed("node", "b").alias("y"), on("project", "b", "colour")).select("x.project", F.col("x.a").alias("node"), "x.colour").distinct()
+            fresh = cut_lineage(step.join(members, ["project", "node"], "left_anti"))
+            members = members.unionByName(fresh)
+        members = cut_lineage(members)
+        several = members.groupBy("project", "colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        done = cut_lineage(members.join(several, ["project", "colour"], "left_semi").select("project", "node", F.col("colour").alias("component")))
+        found = done if found is None else found.unionByName(done)
+        gone = members.select("project", "node")
+        left = cut_lineage(left.join(gone.withColumnRenamed("node", "a"), ["project", "a"], "left_anti").join(gone.withColumnRenamed("node", "b"), ["project", "b"], "left_anti").select("project", "a", "b"))
+    return edges.sparkSession.createDataFrame([], "project string, node string, component string") if found is None else found
 
 
 def _module_edges(g: Graph, project: str | None, module: str | None) -> DataFrame:
@@ -184,29 +232,34 @@ def _module_edges(g: Graph, project: str | None, module: str | None) -> DataFram
 def cycle_edges(g: Graph, project: str | None = None, module: str | None = None) -> DataFrame:
     """(project, from_module, to_module): edges both of whose modules can reach themselves."""
     e = cut_lineage(_module_edges(g, project, module))
-    looped = cut_lineage(_closure(e).where("a = b").select("project", "a"))
+    looped = components(e).select("project", F.col("node").alias("a"))
     return e.join(looped, ["project", "a"], "left_semi").join(looped.withColumnRenamed("a", "b"), ["project", "b"], "left_semi").select("project", F.col("a").alias("from_module"), F.col("b").alias("to_module"))
 
 
-def simple_cycles(g: Graph, max_length: int = 5, involving: str | None = None, project: str | None = None, module: str | None = None) -> DataFrame:
-    """(project, length, modules): simple cycles of modules, one per set of modules.
+def simple_cycles(g: Graph, max_length: int | None = None, involving: str | None = None, project: str | None = None, module: str | None = None) -> DataFrame:
+    """(project, length, modules): simple cycles of modules, one per set of modules; of any length unless bounded.
 
     A cycle begins at its smallest module; of several cycles over the same modules the lexicographically least one
-    stands. Only edges on cycles are walked, and a walk is cut as soon as it leaves the modules above its first.
+    stands. Only edges within a strong component are walked, and a walk is cut as soon as it leaves the modules above
+    its first. The number of cycles, and so the work, may grow exponentially with a component's size.
     """
-    edges = cut_lineage(cycle_edges(g, project, module).select("project", F.col("from_module").alias("a"), F.col("to_module").alias("b")))
+    e = cut_lineage(_module_edges(g, project, module))
+    c = components(e)
+    at = lambda k: c.select("project", F.col("node").alias(k), F.col("component").alias(f"{k}_c"))
+    edges = cut_lineage(e.join(at("a"), ["project", "a"]).join(at("b"), ["project", "b"]).where("a_c = b_c").select("project", "a", "b"))
     walks = edges.where("b > a").select("project", F.array("a", "b").alias("modules"))
-    found = []
-    for d in range(2, max_length + 1):
+    found, d = [], 2
+    while max_length is None or max_length > 1:
         on = (F.col("w.project") == F.col("e.project")) & (F.element_at("w.modules", -1) == F.col("e.a"))
         nxt = walks.alias("w").join(edges.alias("e"), on).select("w.project", "w.modules", "e.b")
         found.append(nxt.where(F.col("b") == F.col("modules")[0]).select("project", "modules"))
         if d == max_length:
             break
         walks = cut_lineage(nxt.where((F.col("b") > F.col("modules")[0]) & ~F.array_contains("modules", F.col("b"))).select("project", F.array_append("modules", F.col("b")).alias("modules")))
+        d += 1
         if walks.isEmpty():
             break
-    c = reduce(DataFrame.unionByName, found)
+    c = reduce(DataFrame.unionByName, found) if found else edges.select("project", F.array("a").alias("modules")).limit(0)
     if involving is not None:
         c = c.where(F.exists("modules", lambda m: m.contains(F.lit(involving))))
     c = c.groupBy("project", F.array_sort("modules").alias("_set")).agg(F.min("modules").alias("modules"))

@@ -127,7 +127,17 @@ _add("accepts", lambda g: lookup.find_accepts(g, "opts", regex=True, **_all), "S
 _add("returns", lambda g: lookup.find_returns(g, "any()", **_all), "SELECT project, module, name, arity, return_string, line FROM sp WHERE return_string = 'any()'")
 _add("struct_usage", lambda g: lookup.find_struct_usage(g, "key", regex=True, **_all), "SELECT project, module, name, arity, inputs_string, return_string, line FROM sp WHERE regexp_matches(inputs_string, 'key') OR regexp_matches(return_string, 'key')")
 _add("struct_usage_by_module", lambda g: lookup.struct_usage_by_module(lookup.find_struct_usage(g, "key", regex=True, **_all), "key"), "SELECT project, module, count(DISTINCT name || '/' || arity) FILTER (WHERE contains(inputs_string, 'key')) AS accepts_count, count(DISTINCT name || '/' || arity) FILTER (WHERE contains(return_string, 'key')) AS returns_count, count(DISTINCT name || '/' || arity) AS total FROM sp WHERE contains(inputs_string, 'key') OR contains(return_string, 'key') GROUP BY ALL")
-_add("browse_module", lambda g: lookup.browse_module(g, None, **_all), "SELECT DISTINCT project, module, 'function' AS type, name, arity, line, kind, file AS detail FROM (SELECT DISTINCT project, module, name, arity, kind, line, start_line, end_line, file, pattern, guard FROM fl) UNION ALL SELECT project, module, 'spec', name, arity, line, kind, \"full\" FROM sp UNION ALL SELECT project, module, 'type', name, NULL, line, kind, definition FROM ty UNION ALL SELECT project, module, 'struct', module, NULL, 0, NULL, field FROM sf")
+_BROWSE = "project, module, type, name, arity, line, kind, file, start_line, end_line, pattern, guard, args, return_type, inputs, returns, \"full\", params, definition, fields"
+_add(
+    "browse_module",
+    lambda g: lookup.browse_module(g, None, **_all).withColumn("fields", F.array_join(F.transform("fields", lambda f: F.concat(f["field"], F.lit("="), f["default_value"], F.lit(":"), f["required"].cast("string"))), ",")),
+    f"""SELECT {_BROWSE} FROM (
+ SELECT f.project, f.module, 'function' AS type, f.name, f.arity, f.line, f.kind, file, start_line, end_line, pattern, guard, inputs_string AS args, return_string AS return_type, NULL AS inputs, NULL AS returns, NULL AS "full", NULL AS params, NULL AS definition, NULL AS fields
+   FROM (SELECT DISTINCT project, module, name, arity, kind, line, start_line, end_line, file, pattern, guard FROM fl) f LEFT JOIN (SELECT project, module, name, arity, inputs_string, return_string FROM sp) s ON s.project = f.project AND s.module = f.module AND s.name = f.name AND s.arity = f.arity
+ UNION ALL SELECT project, module, 'spec', name, arity, line, kind, NULL, NULL, NULL, NULL, NULL, NULL, NULL, inputs_string, return_string, "full", NULL, NULL, NULL FROM sp
+ UNION ALL SELECT project, module, 'type', name, NULL, line, kind, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, params, definition, NULL FROM ty
+ UNION ALL SELECT project, module, 'struct', module, NULL, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, string_agg(field || '=' || default_value || ':' || required, ',' ORDER BY field) FROM sf GROUP BY project, module)""",
+)
 _add("complexity", lambda g: lookup.find_complexity(g, 5, 1, **_all), "SELECT DISTINCT project, module, name, arity, line, complexity, max_nesting_depth, start_line, end_line, end_line - start_line + 1 AS lines, generated_by FROM fl WHERE complexity >= 5 AND max_nesting_depth >= 1")
 _add("large_functions", lambda g: lookup.find_large_functions(g, 20, **_all), "SELECT DISTINCT project, module, name, arity, start_line, end_line, end_line - start_line + 1 AS lines, file, generated_by FROM fl WHERE generated_by = '' AND end_line - start_line + 1 >= 20")
 _add("calls_from", lambda g: calling.calls_from(g, None, "^(get|fetch)", regex=True, **_all), f"SELECT DISTINCT {_CALL.format(kind='call_kind')}, call_type FROM resolved WHERE callee_function <> '%' AND regexp_matches(caller_name, '^(get|fetch)')")
@@ -149,7 +159,7 @@ _add("function_counts", lambda g: metrics.function_counts(g), _COUNT_SQL)
 _add("module_connectivity", lambda g: metrics.module_connectivity(g), _CONN_SQL)
 _add("god_modules", lambda g: metrics.god_modules(g, 10, 0, 10, limit=100), f"SELECT n.project, n.module, func_count AS function_count, coalesce(loc, 0) AS loc, coalesce(incoming, 0) AS incoming, coalesce(outgoing, 0) AS outgoing, coalesce(incoming, 0) + coalesce(outgoing, 0) AS total FROM ({_COUNT_SQL}) n LEFT JOIN ({_LOC_SQL}) l ON l.project = n.project AND l.module = n.module LEFT JOIN ({_CONN_SQL}) c ON c.project = n.project AND c.module = n.module WHERE func_count >= 10 AND coalesce(incoming, 0) + coalesce(outgoing, 0) >= 10 ORDER BY total DESC, module, project, function_count, loc, incoming, outgoing LIMIT 100")
 _UNUSED = "SELECT DISTINCT project, module, name, arity, kind, file, start_line AS line FROM fl WHERE NOT EXISTS (SELECT 1 FROM cl WHERE cl.project = fl.project AND callee_module = module AND callee_function = name AND callee_arity = arity)"
-_add("unused", lambda g: metrics.unused(g, exclude_generated=True, **_all), f"{_UNUSED} AND NOT starts_with(name, '__')")
+_add("unused", lambda g: metrics.unused(g, exclude_generated=True, **_all), f"{_UNUSED} AND NOT regexp_matches(name, '^(__struct__|__using__|__before_compile__|__after_compile__|__on_definition__|__impl__|__info__|__protocol__|__deriving__|__changeset__|__schema__|__meta__)')")
 _add("unused_private", lambda g: metrics.unused(g, private_only=True, **_all), f"{_UNUSED} AND kind IN ('defp', 'defmacrop')")
 _add("unused_public", lambda g: metrics.unused(g, public_only=True, **_all), f"{_UNUSED} AND kind IN ('def', 'defmacro')")
 _add("many_clauses", lambda g: metrics.many_clauses(g, 3, **_all), "SELECT project, module, name, arity, file, generated_by, count(line) AS clauses, min(start_line) AS first_line, max(end_line) AS last_line FROM fl WHERE generated_by = '' GROUP BY ALL HAVING count(line) >= 3")
@@ -176,4 +186,10 @@ _add("closure", lambda g: traverse.reachable(g), "SELECT * FROM reach", _CLOSURE
 _add("cycle_edges", lambda g: traverse.cycle_edges(g), "SELECT project, a AS from_module, b AS to_module FROM pairs p WHERE EXISTS (SELECT 1 FROM reach r WHERE r.project = p.project AND r.a = p.a AND r.b = p.a) AND EXISTS (SELECT 1 FROM reach r WHERE r.project = p.project AND r.a = p.b AND r.b = p.b)", _CLOSURE)
 _add("cycles_len3", lambda g: traverse.simple_cycles(g, 3).select("project", "length", F.array_join("modules", ",").alias("modules")), "SELECT project, 2::BIGINT AS length, p.a || ',' || p.b AS modules FROM pairs p WHERE p.a < p.b AND EXISTS (SELECT 1 FROM pairs q WHERE q.project = p.project AND q.a = p.b AND q.b = p.a) UNION ALL SELECT project, 3, min(a || ',' || b || ',' || c) FROM (SELECT p.project, p.a, p.b, q.b AS c FROM pairs p JOIN pairs q ON q.project = p.project AND q.a = p.b JOIN pairs r ON r.project = p.project AND r.a = q.b AND r.b = p.a WHERE p.a < p.b AND p.a < q.b AND q.b <> p.b) GROUP BY project, a, least(b, c), greatest(b, c)")
 _add("upsert_latest", lambda g: g.calls.select("project", "caller_module", "caller_function", "callee_module", "callee_function", "callee_arity", "file", "line", F.col("column").alias("column_no"), "call_type", "caller_kind", "callee_args"), "SELECT * EXCLUDE (received_at, call_id) FROM cl")
+_ONE = "dusky_depot_00000"
+_add("location_in_project", lambda g: lookup.find_locations(g, "get", project=_ONE, regex=True, limit=20), f"SELECT DISTINCT {_LOC} FROM fl WHERE project = '{_ONE}' AND contains(name, 'get') ORDER BY module, name, arity, line, {_LOC} LIMIT 20")
+_add("complexity_first", lambda g: lookup.find_complexity(g, 2, project=_ONE, limit=30), f"SELECT DISTINCT project, module, name, arity, line, complexity, max_nesting_depth, start_line, end_line, end_line - start_line + 1 AS lines, generated_by FROM fl WHERE project = '{_ONE}' AND complexity >= 2 ORDER BY complexity DESC, module, name, arity, line, max_nesting_depth, start_line, end_line, lines, generated_by LIMIT 30")
+_add("calls_to_first", lambda g: calling.calls_to(g, "Textkit", project=_ONE, limit=15), f"SELECT DISTINCT {_CALL.format(kind='call_kind')}, call_type FROM resolved WHERE project = '{_ONE}' AND callee_function <> '%' AND callee_module = 'Textkit' ORDER BY callee_module, callee_function, callee_arity, caller_module, caller_name, caller_arity, project, 5, caller_start_line, caller_end_line, file, call_line, call_type LIMIT 15")
+_add("unused_first", lambda g: metrics.unused(g, exclude_generated=True, project=_ONE, limit=25), f"SELECT * FROM ({_UNUSED} AND project = '{_ONE}' ORDER BY module, name, arity, project, kind, file, line LIMIT 25) WHERE NOT regexp_matches(name, '^(__struct__|__using__|__before_compile__|__after_compile__|__on_definition__|__impl__|__info__|__protocol__|__deriving__|__changeset__|__schema__|__meta__)')")
+_add("god_modules_first", lambda g: metrics.god_modules(g, 5, 0, 1, limit=7), f"SELECT n.project, n.module, func_count AS function_count, coalesce(loc, 0) AS loc, coalesce(incoming, 0) AS incoming, coalesce(outgoing, 0) AS outgoing, coalesce(incoming, 0) + coalesce(outgoing, 0) AS total FROM ({_COUNT_SQL}) n LEFT JOIN ({_LOC_SQL}) l ON l.project = n.project AND l.module = n.module LEFT JOIN ({_CONN_SQL}) c ON c.project = n.project AND c.module = n.module WHERE func_count >= 5 AND coalesce(incoming, 0) + coalesce(outgoing, 0) >= 1 ORDER BY total DESC, module, project, function_count, loc, incoming, outgoing LIMIT 7")
 _add("modules", lambda g: g.modules, "SELECT DISTINCT project, module AS name, '' AS file, 'unknown' AS source FROM fl")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
@@ -110,23 +110,34 @@ def _entry(e: dict) -> str:
     return f"{name}{span}{kind}" + (f"  {rest}" if rest else "")
 
 
-def table(title: str, x: dict) -> str:
+def table(title: str, x: dict, noun: str = "result") -> str:
     """Header, blank line, summary or a word on nothing found, then modules with their entries and these' details."""
     items = x.get("items", [])
     lines = [title, ""]
     if not items:
-        return "\n".join([*lines, "No results found."])
-    lines += [f"Found {x.get('total_items', len(items))} in {len(items)} group(s):", ""]
+        return "\n".join([*lines, f"No {noun}s found."])
+    total = x.get("total_items", len(items))
+    lines += [f"Found {total} {noun}{'' if total == 1 else 's'}:", ""]
     for m in items:
         lines.append(f"{m['name']}" + (f" ({m['file'].rsplit('/', 1)[-1]})" if m.get("file") else "") + ":")
         for e in m.get("entries", []):
-            lines.append("  " + _entry({k: pretty_type(v) if k == "definition" else simplify_structs(v) if isinstance(v, str) else v for k, v in e.items()}).strip())
+            lines.append("  " + _entry({k: pretty_type(v) if k == "definition" and v else simplify_structs(v) if isinstance(v, str) else v for k, v in e.items()}).strip())
             for k, v in e.items():
                 if isinstance(v, list):
-                    lines += [f"    {_entry(d) if isinstance(d, dict) else d}" for d in v]
+                    lines += [f"    {_detail(k, d, m)}" for d in v]
     return "\n".join(lines)
 
 
+def _detail(key: str, d: Any, m: dict) -> str:
+    """A line of a list under an entry: calls with an arrow for their direction, anything else as an entry."""
+    if not isinstance(d, dict):
+        return str(d)
+    line = d.get("line", d.get("call_line"))
+    if key in ("calls", "callers", "targets") and line is not None and d.get("arity") is not None:
+        return call_line(d, line, key != "callers", m["name"], m.get("file"))
+    return _entry(d)
+
+
 def function_name(f: dict, module: str | None = None) -> str:
     """name/arity, with the module before it unless that is the one in whose context it stands."""
     return f"{f['name']}/{f['arity']}" if f.get("module") == module else f"{f['module']}.{f['name']}/{f['arity']}"
@@ -148,39 +159,62 @@ def call_line(other: dict, line: int, outgoing: bool, module: str | None = None,
     return f"{'→' if outgoing else '←'} @ L{line} {function_name(other, module)}{kind}" + (f" ({place})" if place else "")
 
 
-_STRUCT = re.compile(r"%\{\s*__struct__:\s*(?P<module>[A-Za-z][\w.]*)\s*(?:,(?P<fields>.*))?\}", re.S)
-_STRUCT_FLAT = re.compile(r"%\{__struct__:\s*([A-Za-z][\w.]*),[^}]+\}")
-
-
-def split_fields(text: str) -> list[tuple[str, str]]:
-    """(name, type) of each `name: type` between the commas that stand in no bracket."""
-    cuts, depth = [-1], 0
-    for i, c in enumerate(text):
-        depth += (c in "([{") - (c in ")]}")
-        if c == "," and not depth:
-            cuts.append(i)
-    parts = (text[a + 1 : b].partition(":") for a, b in zip(cuts, [*cuts[1:], len(text)]))
-    return [(n.strip(), t.strip()) for n, _, t in parts if n.strip() and t.strip()]
+def _closing(text: str, at: int) -> int:
+    """The place of the bracket that closes the one at `at`; the end of the text if none does."""
+    open_ = 0
+    for i in range(at, len(text)):
+        if text[i] in "([{":
+            open_ += 1
+        elif text[i] in ")]}":
+            open_ -= 1
+            if not open_:
+                return i
+    return len(text)
+
+
+def _members_of(text: str) -> list[tuple[str, str]]:
+    """(name, value) of each `name: value` of a map's inside; commas and colons within brackets belong to values."""
+    out, at = [], 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] != ",":
+            end = _closing(text, end) + 1 if text[end] in "([{" else end + 1
+        name, colon, value = text[at:end].partition(":")
+        if colon and name.strip() and value.strip():
+            out.append((name.strip(), value.strip()))
+        at = end + 1
+    return out
+
+
+def with_structs(text: str, shown: Callable[[str, list[tuple[str, str]]], str]) -> str:
+    """The text with every map that names its struct as `shown` writes it (of a module and its other members), outermost first."""
+    out, at = [], 0
+    while (begin := text.find("%{", at)) >= 0:
+        end = _closing(text, begin + 1)
+        members = _members_of(text[begin + 2 : end])
+        if end == len(text) or not members or members[0][0] != "__struct__":
+            out.append(text[at : begin + 2])
+            at = begin + 2
+            continue
+        out += [text[at:begin], shown(members[0][1], members[1:])]
+        at = end + 1
+    return "".join([*out, text[at:]])
 
 
 def pretty_type(definition: str) -> str:
-    """A struct in a type definition as `%Module{...}`, one field a line; anything else as it is."""
-    m = _STRUCT.search(definition)
-    if not m:
-        return definition
-    inner = ",\n".join(f"  {n}: {t}" for n, t in split_fields(m["fields"] or ""))
-    return definition[: m.start()] + f"%{m['module']}{{" + (f"\n{inner}\n" if inner else "") + "}" + definition[m.end() :]
+    """A type with its structs as `%Module{...}`, one field a line; anything else as it is."""
 
+    def lines(module: str, members: list[tuple[str, str]]) -> str:
+        inner = ",\n".join(f"  {n}: {t}" for n, t in members)
+        return f"%{module}{{\n{inner}\n}}" if inner else f"%{module}{{}}"
 
-def simplify_structs(text: str) -> str:
-    """Every struct with fields in a type as `%Module{}`."""
-    return _STRUCT_FLAT.sub(r"%\1{}", text)
+    return with_structs(definition, lines)
 
 
-def shorten(text: str, most: int) -> str:
-    """At most `most` characters, the last an ellipsis if something is cut."""
-    return text if len(text) <= most else text[: most - 1] + "…"
+def simplify_structs(text: str) -> str:
+    """Every struct in a type as `%Module{}`."""
+    return with_structs(text, lambda module, _: f"%{module}{{}}")
 
 
-def render(title: str, x: dict, form: str = "table") -> str:
-    return {"table": lambda: table(title, x), "json": lambda: as_json(x), "toon": lambda: toon(x)}[form]()
+def render(title: str, x: dict, form: str = "table", noun: str = "result") -> str:
+    return {"table": lambda: table(title, x, noun), "json": lambda: as_json(x), "toon": lambda: toon(x)}[form]()
