@@ -42,6 +42,14 @@ def _file_system(spark: SparkSession, path: str) -> tuple:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Delete the folder, then there, when the application ends."""
+    files, place = _file_system(spark, path)
+    if not files.exists(place):
+        files.mkdirs(place)
+    files.deleteOnExit(place)
+
+
 def cut_lineage(df: DataFrame, *apart: str) -> DataFrame:
     """The rows of df, written once to the shared folder and read from there, so that no executor is needed for them any more.
 
@@ -51,8 +59,7 @@ def cut_lineage(df: DataFrame, *apart: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/callscape-{uuid.uuid4().hex}.parquet"
     df.write.partitionBy(*apart).parquet(path)
-    files, place = _file_system(spark, path)
-    files.deleteOnExit(place)
+    delete_at_end(spark, path)
     table = spark.read.schema(df.schema).parquet(path)
     table._callscape_path = path
     return table

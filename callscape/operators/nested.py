@@ -16,12 +16,13 @@ from functools import lru_cache
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscape.functions import arrow
 from callscape.functions.cluster import cut_lineage, split_lookup, spread
 from callscape.functions.names import plain_module
+from callscape.sources.ingest import plain_document
 
 #: Kinds of records, parents first; `graph` and `struct` are only parents.
 KINDS = ("graph", "struct", "struct_field", "location", "spec", "clause", "input", "result", "type", "param")
@@ -169,19 +170,37 @@ def deliveries(graphs: DataFrame) -> DataFrame:
     return spread(raw.where("graph_id is not null and body is not null"), "graph_id").mapInArrow(scan, f"graph_id bigint, project string, received_at timestamp_ntz, _body string, records {arrow.ddl(_RECORD)}")
 
 
+def _newest() -> Column:
+    return F.struct(F.coalesce("received_at", F.lit("1900-01-01").cast("timestamp_ntz")), "_body")
+
+
 def store(graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Objects and bridge: (node_hash, record_kind, content, n_occurrences) and (graph_id, project, occ_no, parent_no, module, item, item_no, clause_no, element_no, node_hash, parent_hash).
 
     Of each graph the delivery counts that was received last (a null time is before all; of equal times the one with the
     larger digest of its body). Both are tables in the shared folder.
     """
-    order = F.struct(F.coalesce("received_at", F.lit("1900-01-01").cast("timestamp_ntz")), "_body")
-    newest = deliveries(graphs).groupBy("graph_id").agg(F.max_by(F.struct("project", "records"), order).alias("_g"))
+    newest = deliveries(graphs).groupBy("graph_id").agg(F.max_by(F.struct("project", "records"), _newest()).alias("_g"))
     rows = cut_lineage(newest.select("graph_id", "_g.project", F.inline("_g.records")).withColumn("module", plain_module("module")))
     objects = cut_lineage(rows.groupBy("node_hash", "record_kind", "content").agg(F.count(F.lit(1)).alias("n_occurrences")))
     return objects, rows.drop("record_kind", "content")
 
 
+def plain_documents(graphs: DataFrame) -> DataFrame:
+    """(graph_id, project, text) of each graph's newest complete delivery, as JSON of the exact shape that ingestion reads."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = [document(body) for body in batch.column(4).to_pylist()]
+            kept = [i for i, d in enumerate(docs) if d is not None]
+            texts = pa.array([plain_document(docs[i]) for i in kept], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(kept, pa.int64())).columns[:4], texts], ["graph_id", "project", "received_at", "_body", "text"])
+
+    raw = graphs.select(F.col("graph_id").cast("bigint").alias("graph_id"), "project", F.col("received_at").cast("timestamp_ntz").alias("received_at"), F.md5("body").alias("_body"), "body")
+    found = spread(raw.where("graph_id is not null and body is not null"), "graph_id").mapInArrow(scan, "graph_id bigint, project string, received_at timestamp_ntz, _body string, text string")
+    return found.groupBy("graph_id").agg(F.max_by(F.struct("project", "text"), _newest()).alias("_g")).select("graph_id", "_g.*")
+
+
 def placed(objects: DataFrame, bridge: DataFrame, *more: str) -> DataFrame:
     """The bridge with the record_kind (and more columns) of each occurrence's object; objects that occur all over are joined by broadcast."""
     return split_lookup(bridge, objects.select("node_hash", "record_kind", *more), ["node_hash"], counts=objects.select("node_hash", F.col("n_occurrences").alias("_n")))

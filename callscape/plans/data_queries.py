@@ -161,7 +161,7 @@ f AS (SELECT coalesce(cur.snapshot_no, old.snapshot_no) AS snapshot_no, coalesce
       FROM cur FULL JOIN old ON cur.project = old.project AND cur.snapshot_no = old.snapshot_no AND cur.module = old.module AND cur.name = old.name AND cur.arity = old.arity AND cur.clause_no = old.clause_no)
 """
 
-def _listed(value: str) -> str:
+def listed_sql(value: str) -> str:
     return f"CASE WHEN json_type({value}) = 'ARRAY' THEN {value} WHEN {value} IS NULL OR json_type({value}) = 'NULL' THEN CAST('[]' AS JSON) ELSE json_array({value}) END"
 
 
@@ -249,36 +249,36 @@ _SPECS = f"""
 WITH {_FILES},
 sv AS (SELECT file_no, project, {_first_of("b", _FIELD_KEYS["specs"])} AS s FROM f),
 spec AS (
-  SELECT file_no, project, m.key AS module, CAST(e.key AS BIGINT) AS spec_no, e.value AS v FROM sv, json_each(s) m, json_each({_listed("m.value")}) e WHERE json_type(s) = 'OBJECT' AND e.type = 'OBJECT'
+  SELECT file_no, project, m.key AS module, CAST(e.key AS BIGINT) AS spec_no, e.value AS v FROM sv, json_each(s) m, json_each({listed_sql("m.value")}) e WHERE json_type(s) = 'OBJECT' AND e.type = 'OBJECT'
   UNION ALL SELECT file_no, project, e.value ->> 'module', row_number() OVER (PARTITION BY file_no, e.value ->> 'module' ORDER BY CAST(e.key AS BIGINT)) - 1, e.value FROM sv, json_each(s) e WHERE json_type(s) = 'ARRAY' AND e.type = 'OBJECT'),
-clause AS (SELECT file_no, module, spec_no, CAST(c.key AS BIGINT) AS clause_no, c.value AS c FROM spec, json_each({_listed("(v -> 'clauses')")}) c WHERE c.type = 'OBJECT')
+clause AS (SELECT file_no, module, spec_no, CAST(c.key AS BIGINT) AS clause_no, c.value AS c FROM spec, json_each({listed_sql("(v -> 'clauses')")}) c WHERE c.type = 'OBJECT')
 SELECT spec.file_no, project, {plain_sql("spec.module")} AS module, spec.spec_no, v ->> 'name' AS name, CAST(v ->> 'arity' AS BIGINT) AS arity, v ->> 'kind' AS kind, CAST(v ->> 'line' AS BIGINT) AS line, coalesce(clause_no, -1) AS clause_no,
-  coalesce(array_to_string(from_json({_listed("(c -> 'input_strings')")}, '["VARCHAR"]'), ', '), '') AS inputs, coalesce(array_to_string(from_json({_listed("(c -> 'return_strings')")}, '["VARCHAR"]'), ' | '), '') AS returns, c ->> 'full' AS full
+  coalesce(array_to_string(from_json({listed_sql("(c -> 'input_strings')")}, '["VARCHAR"]'), ', '), '') AS inputs, coalesce(array_to_string(from_json({listed_sql("(c -> 'return_strings')")}, '["VARCHAR"]'), ' | '), '') AS returns, c ->> 'full' AS full
 FROM spec LEFT JOIN clause ON clause.file_no = spec.file_no AND clause.module = spec.module AND clause.spec_no = spec.spec_no
 """
 
-_NESTED = f"""
-WITH w0 AS (SELECT graph_id, received_at, md5(body) AS body_md5, CAST(body AS JSON) AS d FROM call_graphs WHERE json_valid(body)),
-w1 AS (SELECT graph_id, received_at, body_md5, CASE WHEN json_type(d) = 'VARCHAR' THEN TRY_CAST(d ->> '$' AS JSON) ELSE d END AS d FROM w0),
-w2 AS (SELECT graph_id, received_at, body_md5, CASE WHEN json_type(d) = 'ARRAY' THEN d -> 0 ELSE d END AS d FROM w1 WHERE d IS NOT NULL),
-w3 AS (SELECT graph_id, received_at, body_md5, CASE WHEN json_type(d -> 'graph') = 'OBJECT' THEN d -> 'graph' ELSE d END AS d FROM w2),
-g AS (SELECT DISTINCT ON (graph_id) graph_id, d FROM w3 WHERE json_type(d) = 'OBJECT' ORDER BY graph_id, received_at DESC, body_md5 DESC),
+NESTED = f"""
+WITH w0 AS (SELECT graph_id, project, received_at, md5(body) AS body_md5, CAST(body AS JSON) AS d FROM call_graphs WHERE json_valid(body)),
+w1 AS (SELECT graph_id, project, received_at, body_md5, CASE WHEN json_type(d) = 'VARCHAR' THEN TRY_CAST(d ->> '$' AS JSON) ELSE d END AS d FROM w0),
+w2 AS (SELECT graph_id, project, received_at, body_md5, CASE WHEN json_type(d) = 'ARRAY' THEN d -> 0 ELSE d END AS d FROM w1 WHERE d IS NOT NULL),
+w3 AS (SELECT graph_id, project, received_at, body_md5, CASE WHEN json_type(d -> 'graph') = 'OBJECT' THEN d -> 'graph' ELSE d END AS d FROM w2),
+g AS (SELECT DISTINCT ON (graph_id) graph_id, project, d FROM w3 WHERE json_type(d) = 'OBJECT' ORDER BY graph_id, received_at DESC, body_md5 DESC),
 struct AS (SELECT graph_id, m.key AS module, m.value AS v FROM g, json_each(d, '$.structs') m WHERE m.type = 'OBJECT'),
-fields AS (SELECT graph_id, module, e.value ->> 'field' AS item, CAST(e.key AS BIGINT) AS item_no, e.value AS v FROM struct s, json_each({_listed("(s.v -> 'fields')")}) e WHERE e.type <> 'NULL'),
+fields AS (SELECT graph_id, module, e.value ->> 'field' AS item, CAST(e.key AS BIGINT) AS item_no, e.value AS v FROM struct s, json_each({listed_sql("(s.v -> 'fields')")}) e WHERE e.type <> 'NULL'),
 locations AS (SELECT graph_id, m.key AS module, e.key AS item, e.value AS v FROM g, json_each(d, '$.function_locations') m, json_each(m.value) e WHERE m.type = 'OBJECT' AND e.type <> 'NULL'),
-spec AS (SELECT graph_id, m.key AS module, (e.value ->> 'name') || '/' || (e.value ->> 'arity') AS item, CAST(e.key AS BIGINT) AS item_no, e.value AS v FROM g, json_each(d, '$.specs') m, json_each({_listed("m.value")}) e WHERE e.type = 'OBJECT'),
-clause AS (SELECT s.* EXCLUDE (v), CAST(c.key AS BIGINT) AS clause_no, c.value AS v FROM spec s, json_each({_listed("(s.v -> 'clauses')")}) c WHERE c.type <> 'NULL'),
-typed AS (SELECT graph_id, m.key AS module, e.value ->> 'name' AS item, CAST(e.key AS BIGINT) AS item_no, e.value AS v FROM g, json_each(d, '$.types') m, json_each({_listed("m.value")}) e WHERE e.type = 'OBJECT'),
+spec AS (SELECT graph_id, m.key AS module, (e.value ->> 'name') || '/' || (e.value ->> 'arity') AS item, CAST(e.key AS BIGINT) AS item_no, e.value AS v FROM g, json_each(d, '$.specs') m, json_each({listed_sql("m.value")}) e WHERE e.type = 'OBJECT'),
+clause AS (SELECT s.* EXCLUDE (v), CAST(c.key AS BIGINT) AS clause_no, c.value AS v FROM spec s, json_each({listed_sql("(s.v -> 'clauses')")}) c WHERE c.type <> 'NULL'),
+typed AS (SELECT graph_id, m.key AS module, e.value ->> 'name' AS item, CAST(e.key AS BIGINT) AS item_no, e.value AS v FROM g, json_each(d, '$.types') m, json_each({listed_sql("m.value")}) e WHERE e.type = 'OBJECT'),
 r AS (
   SELECT graph_id, 'struct_field' AS record_kind, module, item, item_no, -1 AS clause_no, -1 AS element_no, 'struct' AS parent_kind, v FROM fields
   UNION ALL SELECT graph_id, 'struct', module, '', -1, -1, -1, 'graph', v FROM struct
   UNION ALL SELECT graph_id, 'location', module, item, -1, -1, -1, 'graph', v FROM locations
   UNION ALL SELECT graph_id, 'spec', module, item, item_no, -1, -1, 'graph', v FROM spec
   UNION ALL SELECT graph_id, 'clause', module, item, item_no, clause_no, -1, 'spec', v FROM clause
-  UNION ALL SELECT graph_id, 'input', module, item, item_no, clause_no, CAST(e.key AS BIGINT), 'clause', e.value FROM clause c, json_each({_listed("(c.v -> 'input_strings')")}) e WHERE e.type <> 'NULL'
-  UNION ALL SELECT graph_id, 'result', module, item, item_no, clause_no, CAST(e.key AS BIGINT), 'clause', e.value FROM clause c, json_each({_listed("(c.v -> 'return_strings')")}) e WHERE e.type <> 'NULL'
+  UNION ALL SELECT graph_id, 'input', module, item, item_no, clause_no, CAST(e.key AS BIGINT), 'clause', e.value FROM clause c, json_each({listed_sql("(c.v -> 'input_strings')")}) e WHERE e.type <> 'NULL'
+  UNION ALL SELECT graph_id, 'result', module, item, item_no, clause_no, CAST(e.key AS BIGINT), 'clause', e.value FROM clause c, json_each({listed_sql("(c.v -> 'return_strings')")}) e WHERE e.type <> 'NULL'
   UNION ALL SELECT graph_id, 'type', module, item, item_no, -1, -1, 'graph', v FROM typed
-  UNION ALL SELECT graph_id, 'param', module, item, item_no, -1, CAST(e.key AS BIGINT), 'type', e.value FROM typed t, json_each({_listed("(t.v -> 'params')")}) e WHERE e.type <> 'NULL'),
+  UNION ALL SELECT graph_id, 'param', module, item, item_no, -1, CAST(e.key AS BIGINT), 'type', e.value FROM typed t, json_each({listed_sql("(t.v -> 'params')")}) e WHERE e.type <> 'NULL'),
 n AS (SELECT r.* EXCLUDE (v), row_number() OVER () AS rid, v FROM r),
 own AS (SELECT rid, '{{' || string_agg('"' || k.key || '":' || coalesce(CAST(k.value AS VARCHAR), 'null'), ',' ORDER BY k.key) || '}}' AS c FROM n, json_each(v) k WHERE json_type(v) = 'OBJECT'
         AND NOT (record_kind = 'struct' AND k.key = 'fields' OR record_kind = 'spec' AND k.key = 'clauses' OR record_kind = 'clause' AND k.key IN ('input_strings', 'return_strings') OR record_kind = 'type' AND k.key = 'params') GROUP BY rid),
@@ -308,10 +308,10 @@ SQL: dict[str, str] = {
     "p2_specs": _SPECS,
     "p2_versions": _VERSIONS,
     "p2_unlisted": _UNLISTED,
-    "p3_found": f"{_NESTED} SELECT graph_id, record_kind, {_PLACES} FROM rec WHERE record_kind <> 'struct'",
-    "p3_bridge": f"{_NESTED} SELECT graph_id, record_kind, {_PLACES}, {_PARENTS} FROM rec",
-    "p3_clauses": f"{_NESTED} SELECT graph_id, {_PLACES}, content, {_PARENTS} FROM rec WHERE record_kind = 'clause'",
-    "p3_objects": f"{_NESTED}, {_SUBTREES} SELECT record_kind, content, count(DISTINCT t) AS n_objects, count(*) AS n_occurrences FROM whole GROUP BY ALL",
+    "p3_found": f"{NESTED} SELECT graph_id, record_kind, {_PLACES} FROM rec WHERE record_kind <> 'struct'",
+    "p3_bridge": f"{NESTED} SELECT graph_id, record_kind, {_PLACES}, {_PARENTS} FROM rec",
+    "p3_clauses": f"{NESTED} SELECT graph_id, {_PLACES}, content, {_PARENTS} FROM rec WHERE record_kind = 'clause'",
+    "p3_objects": f"{NESTED}, {_SUBTREES} SELECT record_kind, content, count(DISTINCT t) AS n_objects, count(*) AS n_occurrences FROM whole GROUP BY ALL",
     "p1_found": f"WITH {_NODES} SELECT trace_id, node, root, depth FROM tree UNION ALL SELECT trace_id, node, '', CASE WHEN on_loop THEN -1 ELSE -2 END FROM looped",
     "p1_paths": f"WITH {_NODES} SELECT trace_id, node, root, depth, path FROM tree UNION ALL SELECT trace_id, node, '', CASE WHEN on_loop THEN -1 ELSE -2 END, NULL FROM looped",
     "p1_descendants": f"WITH {_NODES}, below AS (SELECT n.trace_id, n.up AS node, n.node AS descendant, 1::BIGINT AS distance FROM nodes n JOIN tree t ON t.trace_id = n.trace_id AND t.node = n.node WHERE n.up IS NOT NULL UNION ALL SELECT b.trace_id, n.up, b.descendant, b.distance + 1 FROM below b JOIN nodes n ON n.trace_id = b.trace_id AND n.node = b.node WHERE n.up IS NOT NULL) SELECT * FROM below",

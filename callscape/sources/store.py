@@ -6,11 +6,10 @@ import os
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from callscape.functions.cluster import cut_lineage
+from callscape.functions.cluster import cut_lineage, let_go
 from callscape.schema import RELATIONS, Graph
 from callscape.sources import ingest
 
@@ -74,40 +73,47 @@ class Store:
     def graph(self) -> Graph:
         return Graph(**{n: self.table(n) for n in RELATIONS})
 
-    def _replace(self, name: str, rows: DataFrame) -> None:
-        """Put rows in place of all rows of their projects."""
-        cut_lineage(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(self.path(name))
-
     def upsert(self, name: str, rows: DataFrame) -> None:
-        """Rows over those of equal keys; of equal keys among the new rows the last one stays."""
+        """Rows over those of equal keys; of equal keys among the new rows the last one of the last file stays.
+
+        rows may name their files in `_file`. The partitions of the projects that rows name are written anew, aside
+        first, and put in place as the last step of the job; those of other projects are not touched.
+        """
         r = RELATIONS[name]
-        old = self.table(name).join(rows.select("project").distinct(), "project", "left_semi")
-        both = old.withColumn("_new", F.lit(-1).cast("bigint")).unionByName(rows.select(*r.columns).withColumn("_new", F.monotonically_increasing_id()))
-        w = Window.partitionBy(*r.key).orderBy(F.desc("_new"))
-        self._replace(name, both.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*r.columns))
+        if "_file" not in rows.columns:
+            rows = rows.withColumn("_file", F.lit(""))
+        new = cut_lineage(rows.select(*r.columns, F.struct(F.lit(1).alias("new"), "_file", F.monotonically_increasing_id().alias("at")).alias("_order")))
+        old = self.table(name).join(new.select("project").distinct(), "project", "left_semi")
+        both = new.unionByName(old.withColumn("_order", F.struct(F.lit(0).alias("new"), F.lit("").alias("_file"), F.lit(0).cast("bigint").alias("at"))))
+        values = F.struct(*[c for c in r.columns if c not in r.key])
+        kept = cut_lineage(both.groupBy(*r.key).agg(F.max_by(values, "_order").alias("_v")).select(*r.key, "_v.*").select(*r.columns))
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(self.path(name))
+        let_go(new, kept)
 
     def clear(self, project: str) -> None:
-        """All rows of a project, in all tables."""
+        """All rows of a project, in all tables; the folder has the name that Spark gave it on writing."""
+        escaped = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(project) if project else "__HIVE_DEFAULT_PARTITION__"
         for name in RELATIONS:
-            fs, p = self._fs(f"{self.path(name)}/project={project}")
+            fs, p = self._fs(f"{self.path(name)}/project={escaped}")
             if fs.exists(p):
                 fs.delete(p, True)
 
-    def import_json(self, files: str | Sequence[str], project: str = "default", clear: bool = False) -> dict[str, int]:
-        """Files into a project; the number of rows of each relation as they came, before equal keys met."""
-        docs = ingest.read_graphs(self.spark, files)
-        self.setup()
-        if clear:
-            self.clear(project)
-        counts = {}
+    def import_graph(self, docs: DataFrame, project: str | Column, names: Sequence[str] = tuple(RELATIONS)) -> dict[str, int]:
+        """The relations (or those named) of typed documents into a project (a name, or a column of docs); the number of rows of each as they came, before equal keys met."""
+        docs, counts = cut_lineage(docs), {}
         for name, df in ingest.graph(docs, project).relations().items():
+            if name not in names:
+                continue
             counts[name] = df.count()
             if counts[name]:
                 self.upsert(name, df)
+        let_go(docs)
         return counts
 
-
-def latest(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last row of each key by `order`."""
-    w = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    def import_json(self, files: str | Sequence[str], project: str = "default", clear: bool = False) -> dict[str, int]:
+        """Files into a project, each parsed once; see import_graph()."""
+        docs = ingest.read_graphs(self.spark, files)
+        self.setup()
+        if clear:
+            self.clear(project)
+        return self.import_graph(docs, project)

@@ -19,11 +19,9 @@ def import_stream(spark: SparkSession, folder: str, store: Store, project: str,
     store.setup()
 
     def take(batch: DataFrame, _: int) -> None:
-        for name, df in ingest.graph(batch, project).relations().items():
-            if not df.isEmpty():
-                store.upsert(name, df)
+        store.import_graph(batch, project)
 
-    docs = spark.readStream.schema(ingest.SCHEMA).option("multiLine", True).json(folder)
+    docs = spark.readStream.schema(ingest.SCHEMA).option("multiLine", True).json(folder).withColumn("_file", F.col("_metadata.file_path"))
     return docs.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

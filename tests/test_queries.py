@@ -8,11 +8,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from callscape.plans import data_queries, graph_queries
+from callscape.plans import data_queries, graph_queries, import_queries
 from compare import rows_of
 
 DATA = "/root/testdata/sf0.001"
-SQL = {**graph_queries.SQL, **data_queries.SQL}
+SQL = {**graph_queries.SQL, **import_queries.SQL, **data_queries.SQL}
 FOUND = {
     "p1_found": ["trace_id", "node", "root", "depth"], "p2_found": ["file_no", "field", "change_kind"], "p3_found": ["graph_id", "record_kind", "module", "item", "item_no", "clause_no", "element_no"],
     "p4_found": ["project", "callee_module", "callee_function"], "p5_found": ["call_id", "reason"], "p6_found": ["snapshot_no", "project", "module", "name", "arity", "clause_no", "change_kind"],
