@@ -98,12 +98,12 @@ def split_lookup(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
 
     Rows of hot keys would all go to a few tasks. There are at most HOT_SHARE such keys, whatever the size of big, so
     their rows of small are broadcast and those of big stay where they are; all others are joined by shuffle, where no key
-    holds more than 1/HOT_SHARE of the rows. big is read up to three times. counts (on, _n) are its rows per key, if
-    known already.
+    holds more than 1/HOT_SHARE of the rows. big is read up to four times. counts (on, _n) are rows per key, if they
+    are known already and written down: of big, or in proportion to them.
     """
+    rows = big.count() if counts is None else counts.agg(F.sum("_n")).first()[0]
     if counts is None:
         counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    rows = big.count()
     hot = counts.where(F.col("_n") * HOT_SHARE >= rows).select(*on).collect() if rows else []
     more = [c for c in small.columns if c not in on]
     shape = [*[F.col(f"b.{c}").alias(c) for c in big.columns], *[F.col(f"s.{c}").alias(c) for c in more]]

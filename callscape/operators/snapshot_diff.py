@@ -145,10 +145,11 @@ def snapshot_changes(snapshots: DataFrame, chunk: int = CHUNK, most: int = CHUNK
     broadcast.
     """
     n = normalized(snapshots)
-    present = cut_lineage(n.select("project", "snapshot_no").distinct().groupBy("project").agg(F.sort_array(F.collect_list("snapshot_no")).alias("_snaps")))
+    pairs = n.groupBy("project", "snapshot_no").agg(F.count(F.lit(1)).alias("n"))
+    present = cut_lineage(pairs.groupBy("project").agg(F.sort_array(F.collect_list("snapshot_no")).alias("_snaps"), F.sum("n").alias("_n")))
     ordered = n.withColumn("khash", F.xxhash64(*KEY)).repartitionByRange(*KEY).sortWithinPartitions(*KEY, "snapshot_no", "loaded", "h1")
     steps = cut_lineage(ordered.mapInPandas(lambda batches: _sweep(batches, chunk, most), _STEP))
-    rows = split_lookup(steps, present, ["project"])
+    rows = split_lookup(steps, present.drop("_n"), ["project"], counts=present.select("project", "_n"))
     at = lambda no: F.array_position("_snaps", F.col(no)).cast("int")
     next_no = F.when(F.col("from_no") != _NONE, F.try_element_at("_snaps", at("from_no") + 1))
     is_next = F.col("to_no") == next_no
