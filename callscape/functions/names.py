@@ -2,7 +2,8 @@
 
 A module may be written with white space around it, with the `Elixir.` prefix, or quoted as an atom
 (`:"Elixir.Foo"`); a function may carry its arity (`name/2`). Null stays null, and an atom module
-such as `:slate` is a name of its own and keeps its colon.
+such as `:slate` is a name of its own and keeps its colon. Most names are plain already, which one anchored
+pattern tells; only the others are rewritten.
 """
 
 from __future__ import annotations
@@ -13,19 +14,29 @@ from pyspark.sql import functions as F
 _HEAD = r'^[\s\p{Z}]*(:")?(Elixir\.)?'
 _TAIL = r'"?[\s\p{Z}]*$'
 _SPACE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+#: What needs no rewriting: modules, functions, hexadecimal numbers.
+_MODULE, _NAME, _HEX = r"\A(?!Elixir\.)[A-Za-z0-9_.]+\z", r"\A[A-Za-z0-9_!?%]+\z", r"\A[1-9a-f][0-9a-f]*\z"
+
+
+def _column(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def _unless(plain: str, c: Column, rewritten: Column) -> Column:
+    return F.when(c.rlike(plain), c).otherwise(rewritten)
 
 
 def plain_module(module: Column | str) -> Column:
-    c = F.col(module) if isinstance(module, str) else module
-    return F.regexp_replace(F.regexp_replace(c, _HEAD, ""), _TAIL, "")
+    c = _column(module)
+    return _unless(_MODULE, c, F.regexp_replace(F.regexp_replace(c, _HEAD, ""), _TAIL, ""))
 
 
 def _trimmed(name: Column | str) -> Column:
-    return F.regexp_replace(F.col(name) if isinstance(name, str) else name, _SPACE, "")
+    return F.regexp_replace(_column(name), _SPACE, "")
 
 
 def plain_function(name: Column | str) -> Column:
-    return F.regexp_replace(_trimmed(name), r"/[0-9]+$", "")
+    return _unless(_NAME, _column(name), F.regexp_replace(_trimmed(name), r"/[0-9]+$", ""))
 
 
 def plain_arity(arity: Column | str, name: Column | str, args: Column | str | None = None) -> Column:
@@ -42,4 +53,4 @@ def plain_arity(arity: Column | str, name: Column | str, args: Column | str | No
 def plain_hex(digest: Column | str) -> Column:
     """A hexadecimal number without case, prefix and leading zeros; null and empty are one value (null)."""
     c = F.regexp_replace(F.lower(_trimmed(digest)), r"^(0x)?0*", "")
-    return F.when((F.length(_trimmed(digest)) > 0), F.when(c == "", F.lit("0")).otherwise(c))
+    return _unless(_HEX, _column(digest), F.when((F.length(_trimmed(digest)) > 0), F.when(c == "", F.lit("0")).otherwise(c)))
