@@ -221,6 +221,29 @@ def _walk(p_text: str, lines: _Lines, p: int, d: int) -> tuple[int, int, list[in
     return p, d, bad
 
 
+def _whole_words(text: str, starts: list[int], stream: str, run: tuple[int, int, int, int], bad: list[int]) -> tuple[int, int, int, int]:
+    """A run (begin, end, d_begin, d_end) with the words at its ends that but one misread letter cut off; its place goes into bad.
+
+    Such a word has at least four letters: where the passage does not go on, nothing behind the letter can confirm it.
+    """
+    begin, end, d_begin, d_end = run
+    if end < len(text):
+        w = bisect_right(starts, end) - 1
+        n = starts[w + 1] - end
+        wrong = [end + i for i in range(n) if d_end + i >= len(stream) or text[end + i] != stream[d_end + i]]
+        if len(wrong) == 1 and starts[w + 1] - starts[w] >= 4 and not any(starts[w] <= b < starts[w + 1] for b in bad):
+            bad += wrong
+            end, d_end = end + n, d_end + n
+    if begin > 0:
+        w = bisect_left(starts, begin) - 1
+        n = begin - starts[w]
+        wrong = [begin - i for i in range(1, n + 1) if d_begin < i or text[begin - i] != stream[d_begin - i]]
+        if len(wrong) == 1 and starts[w + 1] - starts[w] >= 4 and not any(starts[w] <= b < starts[w + 1] for b in bad):
+            bad += wrong
+            begin, d_begin = begin - n, d_begin - n
+    return begin, end, d_begin, d_end
+
+
 def longest_run(passages: _Passages, k: int, hits: list[tuple[int, int]], lines: _Lines, back: _Lines) -> tuple[int, int]:
     """The most consecutive words of passage k that the stream of lines holds, and where in it they are anchored; back is the stream read backwards."""
     text, starts, limits = passages.texts[k], passages.starts[k], lines.starts
@@ -234,9 +257,11 @@ def longest_run(passages: _Passages, k: int, hits: list[tuple[int, int]], lines:
         end, d_end, bad = _walk(text, lines, p, d)
         begin, d_begin, bad_back = _walk(back_text, back, len(text) - p, size_of_stream - d)
         begin, d_begin = len(text) - begin, size_of_stream - d_begin
+        bad += [len(text) - 1 - b for b in bad_back]
+        begin, end, d_begin, d_end = _whole_words(text, starts, lines.text, (begin, end, d_begin, d_end), bad)
         for near in range(p - d - 1, p - d + 2):
             done.setdefault(near, []).append((begin, end))
-        runs.append(_Run(begin, end, d_begin, d_end, d, [*bad, *(len(text) - 1 - b for b in bad_back)]))
+        runs.append(_Run(begin, end, d_begin, d_end, d, bad))
     best, where = 0, -1
     for r in [*runs, *_joined(runs, limits)]:
         wrong = [bisect_right(starts, b) - 1 for b in r.bad]
