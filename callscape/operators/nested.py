@@ -28,7 +28,7 @@ from callscape.sources.ingest import plain_document
 KINDS = ("graph", "struct", "struct_field", "location", "spec", "clause", "input", "result", "type", "param")
 _RECORD = [
     *((n, arrow.WHOLE) for n in ("occ_no", "parent_no")), *((n, arrow.TEXT) for n in ("record_kind", "module", "item")), *((n, arrow.WHOLE) for n in ("item_no", "clause_no", "element_no")),
-    ("node_hash", arrow.BYTES), ("parent_hash", arrow.BYTES), ("content", arrow.TEXT),
+    ("node_hash", arrow.BYTES), ("content", arrow.TEXT),
 ]
 _PLACE = ["module", "item", "item_no", "clause_no", "element_no"]
 
@@ -140,12 +140,12 @@ def tree(d: dict) -> _Node:
     return root
 
 
-def _flatten(node: _Node, out: list, parent: tuple[int, bytes | None] = (-1, None)) -> None:
+def _flatten(node: _Node, out: list, parent: int = -1) -> None:
     no = len(out)
     m, item, *numbers = node.place
-    out.append((no, parent[0], node.kind, m, item if isinstance(item, str) or item is None else json.dumps(item), *numbers, node.digest, parent[1], node.content))
+    out.append((no, parent, node.kind, m, item if isinstance(item, str) or item is None else json.dumps(item), *numbers, node.digest, node.content))
     for c in node.children:
-        _flatten(c, out, (no, node.digest))
+        _flatten(c, out, no)
 
 
 def deliveries(graphs: DataFrame) -> DataFrame:
@@ -181,7 +181,9 @@ def store(graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
     larger digest of its body). Both are tables in the shared folder.
     """
     newest = deliveries(graphs).groupBy("graph_id").agg(F.max_by(F.struct("project", "records"), _newest()).alias("_g"))
-    rows = cut_lineage(newest.select("graph_id", "_g.project", F.inline("_g.records")).withColumn("module", plain_module("module")))
+    # a parent's hash comes from its place in the list, so that it need not be moved with every child
+    whole = F.transform("records", lambda r: F.struct(*[r[n].alias(n) for n, _ in _RECORD], F.when(r["parent_no"] >= 0, F.get("records", r["parent_no"].cast("int"))["node_hash"]).alias("parent_hash")))
+    rows = cut_lineage(newest.select("graph_id", "_g.project", "_g.records").select("graph_id", "project", F.inline(whole)).withColumn("module", plain_module("module")))
     objects = cut_lineage(rows.groupBy("node_hash", "record_kind", "content").agg(F.count(F.lit(1)).alias("n_occurrences")))
     return objects, rows.drop("record_kind", "content")
 
