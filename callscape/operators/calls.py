@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,19 +15,33 @@ from callscape.operators.lookup import LIMIT
 from callscape.schema import Graph
 
 
-def resolved_calls(g: Graph, project: str | None = None, with_struct_literals: bool = False) -> DataFrame:
+#: Lines of a bucket in which calls meet clauses, and the most buckets that a clause is repeated in; longer ones meet all calls of their module.
+BUCKET, BUCKETS = 256, 1024
+
+
+def resolved_calls(g: Graph, project: str | None = None, with_struct_literals: bool = False, among: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Each call with every clause of its module whose lines it lies in and with whose name its caller's begins.
 
-    The module is the hash key of the join; prefix and interval are checked on its matches. A caller may be written
-    with its arity or without, and `get` also takes calls of `get_user` that lie in its lines.
+    Module and bucket of lines are the keys of the join; prefix and interval are checked on its matches. A caller may be
+    written with its arity or without, and `get` also takes calls of `get_user` that lie in its lines. among chooses
+    the calls to resolve.
     """
     c = in_project(g.calls, project).select("project", "caller_module", "caller_function", "callee_module", "callee_function", "callee_arity", "file", F.col("line").alias("call_line"), "call_type", F.col("caller_kind").alias("call_kind"))
     if not with_struct_literals:
         c = c.where(F.col("callee_function") != "%")
+    c = among(c) if among else c
     f = in_project(g.function_locations, project).select("project", F.col("module").alias("caller_module"), F.col("name").alias("caller_name"), F.col("arity").alias("caller_arity"), F.col("kind").alias("caller_kind"), F.col("start_line").alias("caller_start_line"), F.col("end_line").alias("caller_end_line"))
-    at = F.startswith(c["caller_function"], f["caller_name"]) & c["call_line"].between(f["caller_start_line"], f["caller_end_line"])
-    on = (c["project"] == f["project"]) & (c["caller_module"] == f["caller_module"]) & at
-    return c.join(f, on).drop(f["project"], f["caller_module"])
+    bucket = lambda line: F.floor(F.col(line) / BUCKET)
+    spans = bucket("caller_end_line") - bucket("caller_start_line")
+    short = f.where(spans.between(0, BUCKETS)).withColumn("_b", F.explode(F.sequence(bucket("caller_start_line"), bucket("caller_end_line"))))
+    cols = [*c.columns, *f.columns[2:]]
+
+    def joined(c: DataFrame, f: DataFrame, *keys: str) -> DataFrame:
+        at = F.startswith(c["caller_function"], f["caller_name"]) & c["call_line"].between(f["caller_start_line"], f["caller_end_line"])
+        on = reduce(and_, [c[k] == f[k] for k in ("project", "caller_module", *keys)], at)
+        return c.join(f, on).drop(f["project"], f["caller_module"], *([f["_b"]] if keys else [])).select(*cols)
+
+    return joined(c.withColumn("_b", bucket("call_line")), short, "_b").unionByName(joined(c, f.where(spans > BUCKETS)))
 
 
 _CALL = ["project", "caller_module", "caller_name", "caller_arity", "caller_kind", "caller_start_line", "caller_end_line", "callee_module", "callee_function", "callee_arity", "file", "call_line"]

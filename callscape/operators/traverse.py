@@ -6,6 +6,7 @@ written to the shared folder, so that a level's plan doesn't contain all levels
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -29,19 +30,21 @@ def _depth(depth: int) -> int:
     return depth
 
 
-def _levels(edges: DataFrame, start: Column, reached: list[str], nodes: list[str], step: Column, max_depth: int) -> DataFrame:
-    """The edges at each depth: those of `start`, then those that `step` joins to the nodes reached at the depth before.
+def _levels(resolve: Callable[[Callable[[DataFrame], DataFrame]], DataFrame], among: Column, start: Column, reached: list[str], nodes: list[str], step: Column, max_depth: int) -> DataFrame:
+    """The calls at each depth: those of `start`, then those that `step` joins to the nodes reached at the depth before.
 
-    edges has the alias `e`, the frontier the alias `f` with the columns nodes, which are the columns `reached` of the
-    edges. A node reached again at another depth is followed again, as depth is part of the result.
+    resolve joins calls to their clauses; only those that may begin the trace (among) or that a frontier reaches are ever
+    resolved. Calls have the alias `e`, the frontier the alias `f` with the columns nodes, which are the columns
+    `reached` of the resolved calls. A node reached again at another depth is followed again, as depth is part of the
+    result.
     """
-    level = edges.where(start).withColumn("depth", F.lit(1).cast("bigint"))
+    level = cut_lineage(resolve(lambda c: c.where(among)).where(start).withColumn("depth", F.lit(1).cast("bigint")))
     found = [level]
     for d in range(2, max_depth + 1):
         frontier = cut_lineage(level.select("project", *[F.col(r).alias(n) for r, n in zip(reached, nodes, strict=True)]).distinct())
         if frontier.isEmpty():
             break
-        level = edges.alias("e").join(frontier.alias("f"), (F.col("e.project") == F.col("f.project")) & step).select("e.*").distinct().withColumn("depth", F.lit(d).cast("bigint"))
+        level = cut_lineage(resolve(lambda c, f=frontier: c.alias("e").join(f.alias("f"), (F.col("e.project") == F.col("f.project")) & step, "left_semi")).withColumn("depth", F.lit(d).cast("bigint")))
         found.append(level)
     return reduce(DataFrame.unionByName, found)
 
@@ -49,20 +52,20 @@ def _levels(edges: DataFrame, start: Column, reached: list[str], nodes: list[str
 def trace_calls(g: Graph, module: str | None, function: str | None, arity: int | None = None, max_depth: int = TRACE_DEPTH, project: str | None = None, regex: bool = False, limit: int | None = LIMIT) -> DataFrame:
     """Calls reached from the functions that match, each at every depth at which it is reached."""
     validate(module, function, regex=regex)
-    edges = cut_lineage(resolved_calls(g, project).select("project", "caller_function", *_TRACE).distinct())
-    start = matches("caller_module", module, regex) & matches("caller_name", function, regex) & equals("caller_arity", arity)
+    resolve = lambda among: resolved_calls(g, project, among=among).select("project", "caller_function", *_TRACE).distinct()
+    start = matches("caller_name", function, regex) & equals("caller_arity", arity)
     step = (F.col("e.caller_module") == F.col("f.m")) & F.startswith(F.col("e.caller_function"), F.col("f.n"))
-    rows = _levels(edges, start, ["callee_module", "callee_function"], ["m", "n"], step, _depth(max_depth))
+    rows = _levels(resolve, matches("caller_module", module, regex), start, ["callee_module", "callee_function"], ["m", "n"], step, _depth(max_depth))
     return ordered(rows.select("project", "depth", *_TRACE).distinct(), _ORDER, limit)
 
 
 def reverse_trace_calls(g: Graph, module: str | None, function: str | None, arity: int | None = None, max_depth: int = TRACE_DEPTH, project: str | None = None, regex: bool = False, limit: int | None = LIMIT) -> DataFrame:
     """Calls that lead to the functions that match; struct literals count as calls here."""
     validate(module, function, regex=regex)
-    edges = cut_lineage(resolved_calls(g, project, with_struct_literals=True).select("project", *_TRACE).distinct())
+    resolve = lambda among: resolved_calls(g, project, True, among).select("project", *_TRACE).distinct()
     start = matches("callee_module", module, regex) & matches("callee_function", function, regex) & equals("callee_arity", arity)
     step = (F.col("e.callee_module") == F.col("f.m")) & (F.col("e.callee_function") == F.col("f.n")) & (F.col("e.callee_arity") == F.col("f.a"))
-    rows = _levels(edges, start, ["caller_module", "caller_name", "caller_arity"], ["m", "n", "a"], step, _depth(max_depth))
+    rows = _levels(resolve, start, F.lit(True), ["caller_module", "caller_name", "caller_arity"], ["m", "n", "a"], step, _depth(max_depth))
     return ordered(rows.select("project", "depth", *_TRACE).distinct(), _ORDER, limit)
 
 

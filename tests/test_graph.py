@@ -160,6 +160,18 @@ def test_prefix_and_cycles(spark):
     assert n(t.where("depth = 1")) == 1
 
 
+def test_clauses_of_any_length(spark):
+    """Calls meet short clauses by bucket of lines and very long ones too, each once; clauses that end before they begin hold none."""
+    ends = [(1, 3), (250, 260), (255, 256), (256, 256), (1, 700), (1, 300_000), (1, 2**40), (5, 4), (300_000, 2**62)]
+    loc = [("p", "M", "f", i, a, "", "", 0, "def", a, z, "", "", "", "", 1, 0, "", "") for i, (a, z) in enumerate(ends)]
+    lines = [0, 1, 4, 255, 256, 257, 511, 512, 299_999, 300_000, 2**41]
+    g = Graph.empty(spark)
+    g.function_locations = spark.createDataFrame(loc, RELATIONS["function_locations"].struct)
+    g.calls = spark.createDataFrame([("p", "M", "f/1", "N", "g", 0, "x", line, 1, "remote", "", "") for line in lines], RELATIONS["calls"].struct)
+    want = sorted((line, i) for line in lines for i, (a, z) in enumerate(ends) if a <= line <= z)
+    assert sorted((r.call_line, r.caller_arity) for r in calls.resolved_calls(g).collect()) == want
+
+
 def test_import_errors(spark, store, tmp_path):
     with pytest.raises(FileReadFailed):
         store.import_json(str(tmp_path / "none.json"))
