@@ -126,11 +126,10 @@ class _Rounds:
     def _of_task(self, values: Sequence[int]) -> F.Column:
         return F.element_at(F.array(*[F.lit(v).cast("bigint") for v in values]), (F.col("task") + 1).cast("int"))
 
-    def open(self, task: int, n: int, most: int | None = None) -> list[tuple]:
-        """Runs of n new containers; if no open item is larger than `most`, each is as many gaps as hold one such item."""
+    def open(self, task: int, n: int) -> list[tuple]:
+        """A run of n new containers."""
         first, self.opened[task] = self.opened[task], self.opened[task] + n
-        shares = self.capacities[task] // (most or self.capacities[task])
-        return [("gap", task, 0, self.capacities[task] // shares, first, n, 0)] * shares
+        return [("gap", task, 0, self.capacities[task], first, n, 0)] if n else []
 
     def swept(self, runs: DataFrame) -> DataFrame:
         """A round's first part, written down: every range swept for itself."""
@@ -164,16 +163,15 @@ class _Rounds:
         tasks = range(len(self.capacities))
         items = counts.select(F.lit("item").alias("tag"), "task", F.lit(0).cast("bigint").alias("part"), "v", F.lit(0).cast("bigint").alias("start"), "n", F.lit(0).cast("bigint").alias("at"))
         big = F.sum(F.when(F.col("v") * 2 > self._of_task(self.capacities), F.col("n")).otherwise(0))
-        sums = {r["task"]: r for r in counts.groupBy("task").agg(big.alias("big"), F.sum(F.col("v") * F.col("n")).alias("total")).collect()}
-        # no two items above half the capacity share a container, and no fewer containers than the tokens fill can do
-        begin = [run for t, r in sums.items() for run in self.open(t, max(r["big"], -(-r["total"] // self.capacities[t])))]
-        tables = [self.swept(items.unionByName(self._rows(begin, _RUN)))] if begin else []
+        # no two items above half the capacity share a container; others come into what these leave, and then into new ones
+        big = {r["task"]: r["big"] for r in counts.groupBy("task").agg(big.alias("big")).collect()}
+        begin = [run for t, n in big.items() for run in self.open(t, n)]
+        tables = [self.swept(items.unionByName(self._rows(begin, _RUN)) if begin else items)] if big else []
         matched = []
         while tables:
             table = tables[-1]
             left = table.where("tag <> 'move'")
-            n, total, least, most = F.sum("n"), F.sum(F.col("v") * F.col("n")), F.min("v"), F.max("v")
-            found = table.groupBy("tag", "task", "part").agg(n.alias("n"), total.alias("total"), least.alias("least"), most.alias("most")).collect()
+            found = table.groupBy("tag", "task", "part").agg(F.sum("n").alias("n"), F.sum(F.col("v") * F.col("n")).alias("total"), F.min("v").alias("least")).collect()
             moves = {r["task"] for r in found if r["tag"] == "move"}
             if moves:
                 matched.append(table)
@@ -187,7 +185,7 @@ class _Rounds:
                 parts, moved = carry([(p, items[p]["n"] if p in items else 0, gaps.get(p, 0)) for p in sorted({*items, *gaps})])
                 stretches += [(tag, t, *rest) for tag, *rest in parts]
                 if not moved and t not in moves:
-                    more += self.open(t, -(-sum(r["total"] for r in items.values()) // self.capacities[t]), max(r["most"] for r in items.values()))
+                    more += self.open(t, -(-sum(r["total"] for r in items.values()) // self.capacities[t]))
             if not stretches:
                 break
             state = self.carried(left, stretches, least)
