@@ -4,6 +4,9 @@ Every node starts with a pointer to its parent and a path segment, itself; each
 node it points to and puts that node's segment before its own, so that the distance covered doubles and a tree of
 depth d is resolved in about log2(d) rounds. Once a round resolves nothing, what is left leads into loops. From there on
 the pointers alone are doubled, until the set of nodes pointed at no longer shrinks: then it is the nodes *on* loops.
+
+No path leaves its scope, so all rounds of a scope of few rows run within a task (doubling.py), after one shuffle of the
+links; only scopes of more rows than that are doubled by rounds of joins, in which every path moves once a round.
 """
 
 from __future__ import annotations
@@ -12,11 +15,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callscape.functions.cluster import cut_lineage, let_go, parts_of
 from callscape.functions.names import plain_function, plain_module
+from callscape.operators.doubling import sweep
 
 ON_LOOP, BELOW_LOOP = -1, -2
+#: Scopes of more rows than this are doubled by joins; all paths of one of as many have 8 million entries at most.
+SCOPE_ROWS = 4096
 
 
 def links(df: DataFrame, scope: Sequence[str], parent: Column, child: Column) -> DataFrame:
@@ -91,8 +98,34 @@ def hierarchy(nodes: DataFrame, scope: Sequence[str], with_path: bool = False) -
 
     A root has depth 0. A node on a loop (its own parent included) has root '' and depth -1, a node below a loop
     root '' and depth -2; their path is null. No rows give no rows. Paths are built either way, as the depth is
-    their length; without with_path they hold ids of 8 bytes.
+    their length; without with_path they hold ids.
     """
+    return hierarchy_of(nodes, scope, F.col("up"), F.col("node"), with_path)
+
+
+def hierarchy_of(df: DataFrame, scope: Sequence[str], parent: Column, child: Column, with_path: bool = False) -> DataFrame:
+    """hierarchy() of the nodes that links() finds in df, which is read twice: first only its scopes, to count their rows."""
+    rows = df.select(*scope, parent.alias("up"), child.alias("node"))
+    if not scope:
+        return _by_joins(links(rows, scope, F.col("up"), F.col("node")), scope, with_path)
+    large = cut_lineage(rows.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SCOPE_ROWS).select(*scope))
+    if large.isEmpty():
+        return _by_scope(rows, scope, with_path)
+    is_large = [F.col(f"r.{s}").eqNullSafe(F.col(f"l.{s}")) for s in scope]
+    few, many = (rows.alias("r").join(F.broadcast(large.alias("l")), is_large, how) for how in ("left_anti", "left_semi"))
+    return _by_scope(few, scope, with_path).unionByName(_by_joins(links(many, scope, F.col("up"), F.col("node")), scope, with_path))
+
+
+def _by_scope(rows: DataFrame, scope: Sequence[str], with_path: bool) -> DataFrame:
+    """hierarchy() of rows (scope, up, node), all of a scope in one task."""
+    kinds = [("node", T.StringType()), ("root", T.StringType()), ("depth", T.LongType()), *([("path", T.ArrayType(T.StringType()))] if with_path else [])]
+    shape = T.StructType([*[rows.schema[s] for s in scope], *[T.StructField(*k) for k in kinds]])
+    names = shape.names
+    return rows.repartition(*scope).sortWithinPartitions(*scope).mapInArrow(lambda batches: sweep(batches, names, with_path, ON_LOOP, BELOW_LOOP), shape)
+
+
+def _by_joins(nodes: DataFrame, scope: Sequence[str], with_path: bool) -> DataFrame:
+    """hierarchy() by rounds of joins."""
     numbered, trees, loops = _resolve(nodes, scope, with_path)
     found = trees.select("id", "root", (F.size("path") - 1).cast("bigint").alias("depth"), *(["path"] if with_path else []))
     if loops is not None:

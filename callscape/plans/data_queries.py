@@ -14,16 +14,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return hierarchy.hierarchy(hierarchy.path_step_links(table(spark, folder, "path_steps")), ["trace_id"])
+    return hierarchy.hierarchy_of(*hierarchy.path_step_ends(table(spark, folder, "path_steps")))
 
 
 def p1_paths(spark: SparkSession, folder: str) -> DataFrame:
-    h = hierarchy.hierarchy(hierarchy.path_step_links(table(spark, folder, "path_steps")), ["trace_id"], with_path=True)
+    h = hierarchy.hierarchy_of(*hierarchy.path_step_ends(table(spark, folder, "path_steps")), with_path=True)
     return h.select("trace_id", "node", "root", "depth", F.array_join("path", " > ").alias("path"))
 
 
 def p1_descendants(spark: SparkSession, folder: str) -> DataFrame:
-    h = hierarchy.hierarchy(hierarchy.path_step_links(table(spark, folder, "path_steps")), ["trace_id"], with_path=True)
+    h = hierarchy.hierarchy_of(*hierarchy.path_step_ends(table(spark, folder, "path_steps")), with_path=True)
     return hierarchy.descendants(h, ["trace_id"])
 
 
